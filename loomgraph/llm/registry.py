@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import answer_defects as p6
+from loomgraph.llm import encode as p7
+from loomgraph.llm import leaks as p8
 from loomgraph.llm import quantile_buffers as p5
 from loomgraph.sources.tables import table
 
@@ -44,11 +46,34 @@ def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     return p6.defect_rates(table(spark, folder, "answer_records", "record_id", "mode", "question", "answer"))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return p7.encode(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens per language and kind."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "lang", "kind")
+    counted = p7.encode(documents, also=["lang", "kind"]).select("lang", "kind", F.size("ids").cast("bigint").alias("n"))
+    return counted.groupBy("lang", "kind").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "gold_cases"))
+
+
+def p8_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
+    return p8.reparameterised(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "gold_cases"))
+
+
 QUERIES = {
     "p5_percentiles": p5_percentiles,
     "p5_daily_percentiles": p5_daily_percentiles,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p7_ids": p7_ids,
+    "p7_token_counts": p7_token_counts,
+    "p8_found": p8_found,
+    "p8_reparameterised": p8_reparameterised,
 }
 
 
@@ -67,4 +92,11 @@ def _percentile_sql(keys: str) -> str:
 SQL = {
     "p5_percentiles": _percentile_sql("metric, mode"),
     "p5_daily_percentiles": _percentile_sql("metric, mode, day"),
+    "p8_found": """
+    WITH p AS (SELECT id AS case_id, unnest([question, reference_answer] || coalesce(reference_contexts, [])) AS text FROM gold_cases),
+    g AS (SELECT case_id, regexp_extract_all(lower(upper(text)), '[\\p{L}\\p{N}]+') AS w FROM p WHERE text IS NOT NULL),
+    d AS (SELECT doc_id, regexp_extract_all(lower(upper(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+    gw AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM g)),
+    dw AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM d))
+    SELECT DISTINCT doc_id, case_id FROM dw JOIN gw USING (s)""",
 }
