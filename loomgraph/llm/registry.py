@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import answer_defects as p6
 from loomgraph.llm import encode as p7
+from loomgraph.llm import garbled as p9
 from loomgraph.llm import leaks as p8
 from loomgraph.llm import quantile_buffers as p5
 from loomgraph.sources.tables import table
@@ -65,6 +66,14 @@ def p8_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
     return p8.reparameterised(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "gold_cases"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9.garbled(table(spark, folder, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return p9.garbled(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "p5_percentiles": p5_percentiles,
     "p5_daily_percentiles": p5_daily_percentiles,
@@ -74,6 +83,8 @@ QUERIES = {
     "p7_token_counts": p7_token_counts,
     "p8_found": p8_found,
     "p8_reparameterised": p8_reparameterised,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 
