@@ -10,11 +10,39 @@ from loomgraph.llm import encode as p7
 from loomgraph.llm import garbled as p9
 from loomgraph.llm import leaks as p8
 from loomgraph.llm import quantile_buffers as p5
+from loomgraph.llm import sources as p2
 from loomgraph.sources.tables import table
 
+FILE_COLUMNS = ["file_id", "repository", "file_path", "content"]
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2.parse_files(table(spark, folder, "source_files", *FILE_COLUMNS)).where(~F.col("accepted")).select("file_id")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return p2.acceptance(p2.parse_files(table(spark, folder, "source_files", *FILE_COLUMNS)))
+
+
+def p2_errors(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = p2.parse_files(table(spark, folder, "source_files", *FILE_COLUMNS)).where(~F.col("accepted"))
+    return parsed.select("file_id", "language", "line", "cause", F.size("errors").alias("n_errors"))
+
+
+def p2_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = p2.parse_files(table(spark, folder, "source_files", *FILE_COLUMNS))
+    return p2.broken_chunks(parsed, table(spark, folder, "chunks", "node_id", "chunk_index", "repository", "file_path"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2.documented_functions(table(spark, folder, "source_files", *FILE_COLUMNS)).select("file_id", "line", "name")
+
+
+def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return p2.documented_functions(table(spark, folder, "source_files", *FILE_COLUMNS))
+
+
 def latency_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Daily summaries of both latencies: metric, mode, day and the buffers. Repeated rows count once."""
     records = table(
@@ -75,6 +103,12 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
+    "p2_errors": p2_errors,
+    "p2_chunks": p2_chunks,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
     "p5_percentiles": p5_percentiles,
     "p5_daily_percentiles": p5_daily_percentiles,
     "p6_found": p6_found,
