@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.spreading import spread
+
 #: Rules in their order; the first that triggers names the defect.
 ORDER = ["empty", "copy", "refusal", "language", "truncated"]
 
@@ -135,7 +137,7 @@ def answer_defects(records: DataFrame, key: str = "record_id", question: str = "
     A null or empty answer is 'empty', whatever the question; a null question triggers neither 'copy' nor 'language'.
     Repeated rows give one row; null keys are kept. Other columns are ignored; an empty table gives an empty result.
     """
-    pairs = records.select(F.col(key).alias("key"), F.col(question).alias("question"), F.col(answer).alias("answer"))
+    pairs = spread(records.select(F.col(key).alias("key"), F.col(question).alias("question"), F.col(answer).alias("answer")))
     q, a = F.col("question"), F.col("answer")
     pairs = with_language(with_language(pairs, "question", "q_lang"), "answer", "a_lang")
     pairs = (
@@ -160,8 +162,7 @@ def answer_defects(records: DataFrame, key: str = "record_id", question: str = "
 
 def defect_rates(records: DataFrame) -> DataFrame:
     """Records and defective records per mode: mode, defect ('' counts all records), n. Repeated rows count once."""
-    once = records.select("record_id", "mode", "question", "answer").dropDuplicates(["record_id"])
-    modes = once.select(F.col("record_id").alias("id"), "mode")
-    bad = answer_defects(once)
+    modes = records.select(F.col("record_id").alias("id"), "mode").dropDuplicates(["id"])
+    bad = answer_defects(records)
     hit = modes.join(bad, modes["id"] == bad["record_id"]).groupBy("mode", "defect").agg(F.count("*").alias("n"))
     return hit.unionByName(modes.groupBy("mode").agg(F.count("*").alias("n")).withColumn("defect", F.lit("")))

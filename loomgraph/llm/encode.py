@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.spreading import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the vocabulary's own rule of splitting texts into words, white space as Unicode defines it.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -191,4 +193,5 @@ def encode(
     def ids(texts: pd.Series) -> pd.Series:
         return pd.Series(encode_batch([t if isinstance(t, str) else None for t in texts], path))
 
-    return documents.select(F.col(key), *(also or []), ids(F.col(text)).alias("ids"))
+    needed = list(dict.fromkeys([key, text, *(also or [])]))
+    return spread(documents.select(*needed)).select(F.col(key), *(also or []), ids(F.col(text)).alias("ids"))

@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.spreading import spread
+
 #: Words that name units.
 UNITS = [
     "ms", "us", "ns", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hour", "hours", "day", "days",
@@ -104,7 +106,7 @@ def _matched(documents: DataFrame, cases: DataFrame, key: str, text: str, n: int
     gold = gold.select(*(F.col(c).alias(f"g_{c}") for c in gold.columns))
     if gold.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         gold = F.broadcast(gold)
-    corpus = windows(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", kind, n, slots)
+    corpus = windows(spread(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))), "text", kind, n, slots)
     return corpus.join(gold, F.col("template") == F.col("g_template"))
 
 

@@ -1,6 +1,7 @@
 """Source files that do not parse (problem 2), and functions paired with their documentation (problem 3).
 
-Both read each file once, in the stage that scans it: contents are never shuffled, only the few columns of the result are.
+Both read each file once, in the stage that scans it: contents are not shuffled (unless the scan has fewer splits than the
+cluster has cores, see ``spread``), only the few columns of the result are.
 Files that are delivered twice are parsed twice and counted once.
 """
 
@@ -14,6 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.spreading import spread
 from loomgraph.llm.syntax import LANGUAGES, check
 
 ERROR = "array<struct<line: int, message: string>>"
@@ -26,7 +28,7 @@ def extension(path: Column) -> Column:
 
 def _candidates(files: DataFrame, extensions: list[str]) -> DataFrame:
     kept = files.select("file_id", "repository", "file_path", extension(F.col("file_path")).alias("ext"), "content")
-    return kept.where(F.col("content").isNotNull() & F.col("ext").isin(extensions))
+    return spread(kept.where(F.col("content").isNotNull() & F.col("ext").isin(extensions)))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -62,8 +64,8 @@ def acceptance(parsed: DataFrame) -> DataFrame:
 
 
 def _path(path: Column) -> Column:
-    """A path as one would compare it: forward slashes, no leading './' or '/', lower case."""
-    return F.regexp_replace(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), r"^(?:\./|/)+|(?<=/)(?:\./|/)+", "")
+    """A path as one would compare it: forward slashes, no leading './', '/' or 'src/', lower case."""
+    return F.regexp_replace(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), r"^(?:\./|/)+(?:src/)?|^src/|(?<=/)(?:\./|/)+", "")
 
 
 def broken_chunks(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
