@@ -13,7 +13,10 @@ from pyspark.sql.window import Window
 from loomgraph.functions import text as X
 from loomgraph.operators import code, ranking
 from loomgraph.operators.percentile import exact_percentiles
+from loomgraph.operators.retrieval import retrieve
 from loomgraph.operators.vectors import cosine_top_k
+from loomgraph.sources.files import anchor_excerpts, faulty_cases, snapshot_changes
+from loomgraph.sources.graph import graph
 from loomgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -283,3 +286,38 @@ def longest_gaps(spark: SparkSession, folder: str) -> DataFrame:
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(by).cast("timestamp"))
     e = table(spark, folder, "events", "event_id", "event_type", "user_id", "ts")
     return e.withColumn("gap", gap).groupBy("event_type").agg(F.max("gap").alias("longest_gap_us"))
+
+
+@query()
+def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """The fused answers to every question that was asked."""
+    asked = table(spark, folder, "answer_records", "case_id", "question").where("question IS NOT NULL").groupBy(F.col("case_id").alias("qid")).agg(F.min("question").alias("question"))
+    n, e = graph(spark, folder)
+    return retrieve(asked, n, e)
+
+
+@query("""WITH d AS (SELECT repository, file_path, sha256(content) AS digest, loaded_at FROM source_files WHERE content IS NOT NULL),
+o AS (SELECT DISTINCT repository, file_path, digest FROM d WHERE loaded_at < TIMESTAMP '2025-06-01'), w AS (SELECT DISTINCT repository, file_path, digest FROM d)
+SELECT coalesce(o.repository, w.repository) AS repository, coalesce(o.file_path, w.file_path) AS file_path,
+CASE WHEN o.digest IS NULL THEN 'added' WHEN w.digest IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM o FULL JOIN w ON o.repository = w.repository AND o.file_path = w.file_path WHERE o.digest IS DISTINCT FROM w.digest""")
+def snapshot_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """What the files loaded since June changed."""
+    files = table(spark, folder, "source_files", "repository", "file_path", "content", "loaded_at").where("content IS NOT NULL")
+    files = files.select("repository", "file_path", F.sha2("content", 256).alias("digest"), "loaded_at")
+    return snapshot_changes(files.where("loaded_at < TIMESTAMP '2025-06-01'"), files)
+
+
+@query("""SELECT id, unnest(list_filter([CASE WHEN trim(coalesce(question, '')) = '' THEN 'no question' END, CASE WHEN trim(coalesce(reference_answer, '')) = '' THEN 'no answer' END,
+CASE WHEN NOT coalesce(difficulty IN ('simple', 'multi_hop', 'hard'), false) THEN 'unknown difficulty' END, CASE WHEN coalesce(len(source_files), 0) < 1 THEN 'no source file' END,
+CASE WHEN len(list_filter(coalesce(source_anchors, []), lambda a: NOT regexp_matches(a, '^.+:\\d+-\\d+$'))) > 0 THEN 'malformed anchor' END], lambda x: x IS NOT NULL)) AS fault FROM gold_cases""")
+def gold_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return faulty_cases(table(spark, folder, "gold_cases"))
+
+
+@query()
+def chunk_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every chunk read again from its file: anchor, excerpt."""
+    c = table(spark, folder, "chunks", "file_path", "start_line", "end_line").select(F.format_string("%s:%d-%d", "file_path", "start_line", "end_line").alias("anchor")).distinct()
+    files = table(spark, folder, "source_files", "file_path", "content").where("content IS NOT NULL").dropDuplicates(["file_path"])
+    return anchor_excerpts(c, files)
