@@ -9,13 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests, a laptop)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-loomgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _OWN:
+        _OWN.append(f"file://{tempfile.mkdtemp(prefix='spark-loomgraph-')}")
+    return _OWN[0]
 
 
 class Workspace:
