@@ -118,3 +118,36 @@ def windows(files: DataFrame, max_chars: int = 2048, overlap_chars: int = 256) -
     schema = "file_id bigint, chunk_index int, start_line int, end_line int, total_chunks int, text string"
     chosen = files.where(F.col("content").isNotNull()).select("file_id", "content")
     return chosen.mapInPandas(run, schema).dropDuplicates(["file_id", "chunk_index"])
+
+
+def skeleton(text: str, focus: set[str]) -> str:
+    """``text`` with the bodies of functions outside ``focus`` cut to their docstring and '...'; as it is if it does not parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return text
+    lines, cut = text.splitlines(), []
+    for f in ast.walk(tree):
+        if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)) and f.name not in focus:
+            documented = ast.get_docstring(f) is not None
+            first = f.body[0].end_lineno + 1 if documented else f.body[0].lineno
+            inner = any(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and x.name in focus for s in f.body for x in ast.walk(s))
+            if not inner and first > f.lineno and (len(f.body) > 1 or not documented):
+                cut.append((first, f.body[-1].end_lineno, " " * f.body[0].col_offset + "..."))
+    end = 0
+    kept = []
+    for first, last, mark in sorted(cut):
+        if first > end:
+            kept += lines[end : first - 1] + [mark]
+            end = last
+    return "\n".join(kept + lines[end:])
+
+
+def skeletons(files: DataFrame, focus: DataFrame) -> DataFrame:
+    """file_id, skeleton of each file in ``focus`` (file_id, names: array of function names to keep whole)."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([skeleton(t, set(n)) if t is not None else None for t, n in zip(text, names, strict=True)])
+
+    return files.select("file_id", "content").join(focus, "file_id").select("file_id", cut("content", "names").alias("skeleton"))

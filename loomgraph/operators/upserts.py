@@ -38,3 +38,16 @@ def run_changes(nodes: DataFrame) -> DataFrame:
     has, had = F.col("is").isNotNull(), F.col("was").isNotNull()
     out = both.join(last, "repository").where(F.col("run") <= F.col("last")).groupBy("repository", "run")
     return out.agg(n(has & ~had).alias("added"), n(~has & had).alias("removed"), n(has & had).alias("kept"))
+
+
+def upsert_links(nodes: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Links of both tables by (src_id, rel, dst_id); new ones only if both ends are nodes; their other columns go over the old."""
+    ids = nodes.select("id")
+    sound = new.join(ids, new["src_id"] == ids["id"], "left_semi")
+    sound = sound.join(ids, sound["dst_id"] == ids["id"], "left_semi")
+    return overlay(old, sound.dropDuplicates(["src_id", "rel", "dst_id"]), ["src_id", "rel", "dst_id"])
+
+
+def write_by_repository(df: DataFrame, path: str) -> None:
+    """Replaces only the repositories that ``df`` has; reads of one repository prune the others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository").parquet(path)

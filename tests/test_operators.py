@@ -207,3 +207,45 @@ def test_streams(spark, tmp_path):
     query = out.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.since.day, r.key, r.n) for r in spark.table("windows").collect()} == {(1, "a", 2), (2, "b", 1), (3, "a", 1)}
+
+
+def test_more_text_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    assert value(X.point_id(F.lit("a"))) == "ca978112-ca1b-bdca-fac2-31b39a23dc4d"
+    assert value(X.normal_question(F.lit(" What is  #12? "))) == "what is #N?".lower().replace("n?", "N?")
+    good = '[{"src_id": "a", "rel": "USES", "dst_id": "b", "confidence": 0.9}, {"src_id": "a", "rel": "OWNS", "dst_id": "c", "confidence": 1}]'
+    assert [e.dst_id for e in value(X.edges_of_json(F.lit(good)))] == ["b", "c"]
+    assert [e.dst_id for e in value(X.trusted_edges(X.edges_of_json(F.lit('{"edges": ' + good + "}"))))] == ["b"]
+    assert value(X.edges_of_json(F.lit("not json"))) == []
+    assert tuple(value(X.titled(F.lit("title: A b\nSummary: c\nd")))) == ("A b", "c\nd")
+    assert value(X.iso_of_millis(F.lit(1500))) == "1970-01-01T00:00:01.500"
+    assert [value(X.is_loopback(F.lit(u))) for u in ("http://localhost:1/x", "https://127.0.0.1", "ftp://localhost", "http://x.org")] == [True, True, False, False]
+    assert value(X.is_vietnamese(F.lit("được"))) and not value(X.is_vietnamese(F.lit("déjà")))
+    assert [value(X.context_size(F.lit(n))) for n in (1, 9000, 99999)] == [8192, 11264, 32768]
+    assert value(X.clipped(F.lit("abcdef"), 3, "…")) == "abc…"
+    assert value(X.chunk_header(F.lit("Function"), F.lit("C"), F.lit("f"), F.lit("a.py"), F.lit(3))) == "# [Function] C.f (a.py:3)"
+    assert value(X.node_text(F.lit("Class"), F.lit("C"), F.lit(None).cast("string"), F.lit(""))) == "Class C"
+
+
+def test_links_and_partitions(spark, tmp_path):
+    n = nodes_of(spark, ("a",), ("b",))
+    schema = LINKS + ", line int"
+    old = spark.createDataFrame([("a", "CALLS", "b", 1), ("x", "CALLS", "y", 2)], schema)
+    new = spark.createDataFrame([("a", "CALLS", "b", 9), ("a", "CALLS", "gone", 3), ("b", "USES", "a", 4), ("b", "USES", "a", 4)], schema)
+    assert rows(upserts.upsert_links(n, old, new)) == [("a", "CALLS", "b", 9), ("b", "USES", "a", 4), ("x", "CALLS", "y", 2)]
+    path = str(tmp_path / "t")
+    frame = lambda *r: spark.createDataFrame(list(r), "id int, repository string")
+    upserts.write_by_repository(frame((1, "r"), (2, "s")), path)
+    upserts.write_by_repository(frame((3, "s")), path)
+    assert rows(spark.read.parquet(path).select("id", "repository")) == [(1, "r"), (3, "s")]
+
+
+def test_skeletons(spark):
+    text = 'def keep():\n    a = 1\n    return a\n\ndef cut(x):\n    """Says."""\n    y = x\n    return y\n\nclass K:\n    def m(self):\n        def keep(): pass\n        return 1\n    def one(self): return 2\n'
+    got = code.skeleton(text, {"keep"})
+    assert got == 'def keep():\n    a = 1\n    return a\n\ndef cut(x):\n    """Says."""\n    ...\n\nclass K:\n    def m(self):\n        def keep(): pass\n        return 1\n    def one(self): return 2'
+    assert code.skeleton("def (", set()) == "def ("
+    f = spark.createDataFrame([(1, text), (2, None)], "file_id long, content string")
+    focus = spark.createDataFrame([(1, ["keep"]), (2, [])], "file_id long, names array<string>")
+    assert {r.file_id: r.skeleton for r in code.skeletons(f, focus).collect()} == {1: got, 2: None}
