@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import regex
@@ -24,6 +25,11 @@ _number = regex.compile(
     r"|(?:[0-9](?:_?[0-9])*\.(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?"
 )
 _op = regex.compile(r"\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=]")
+#: The usual tokens at one go, with the blanks before them; all else is left to ``Lexer.token``.
+_usual = re.compile(
+    r"[ \t\f]*+(?:(?P<name>[A-Za-z_][A-Za-z_0-9]*+)(?![\w'\"]|[^\x00-\x7f])|(?P<bracket>[()\[\]{}])|(?P<number>[1-9][0-9]*+|0)(?![\w.]|[^\x00-\x7f])"
+    r"|(?P<op>\*\*=?|//=?|>>=?|<<=?|->|:=|[=!<>+\-*/%@&|^]=|\.(?![0-9.])|[-+*/%@&|^~<>,:;=])|(?P<line>\n)|(?P<note>#[^\n]*+)|(?P<join>\\\n))"
+)
 _prefix = regex.compile(r"(?i)(?:r|u|b|f|br|rb|fr|rf)?(?='|\")")
 _blank = regex.compile(r"(?:[ \t\f]|\\\r?\n)+")
 _escape = regex.compile(r"\\(?:N\{([^}]*)\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U([0-9a-fA-F]{8})|([NxuU])|.)", regex.S)
@@ -45,27 +51,34 @@ class Lexer:
         self.out.append(Token(kind, text, self.line, self.at))
 
     def run(self) -> list[Token]:
-        levels, text, n = [(0, 0)], self.text, len(self.text)
+        levels, text, n, out = [(0, 0)], self.text, len(self.text), self.out
         fresh = True
         while self.at < n:
             if fresh and not self.open:
                 self._indent(levels)
                 fresh = False
                 continue
-            c = text[self.at]
-            if c == "\n":
-                if not self.open and self.out and self.out[-1].kind not in ("newline", "indent", "dedent"):
+            m = _usual.match(text, self.at)
+            kind = m.lastgroup if m else ""
+            if kind in ("name", "op", "number"):
+                out.append(Token(kind, m[kind], self.line, self.at))
+                self.at = m.end()
+            elif kind == "bracket":
+                self.bracket(m[kind])
+                out.append(Token("op", m[kind], self.line, self.at))
+                self.at = m.end()
+            elif kind == "line":
+                if not self.open and out and out[-1].kind not in ("newline", "indent", "dedent"):
                     self.emit("newline", "")
-                self.at += 1
+                self.at = m.end()
                 self.line += 1
                 fresh = not self.open
+            elif m:
+                self.line += kind == "join"
+                self.at = m.end()
             elif m := _blank.match(text, self.at):
                 self.line += m[0].count("\n")
                 self.at = m.end()
-            elif c == "#":
-                self.at = text.find("\n", self.at)
-                if self.at < 0:
-                    self.at = n
             else:
                 self.token()
         if self.open:
