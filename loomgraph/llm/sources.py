@@ -89,7 +89,7 @@ _PY = r"""
   (?P<group>\((?:(?&part)|:)*+\)|\[(?:(?&part)|:)*+\]|\{(?:(?&part)|:)*+\})
   (?P<part>(?&text)|(?&note)|(?&group)|\w++|[^()\[\]{}'"\#\w:]++)
 )
-(?:(?&note)|(?<!\w)(?&text))(*SKIP)(*FAIL)
+(?:[^\w'"\#]++|(?!(?:async|def)\b)\w++(?!['"])|(?&note)|(?<!\w)(?&text))(*SKIP)(*FAIL)
 |(?<![\w.])(?P<head>(?:async[ \t\\\n]++)?def[ \t\\\n]++)(?P<name>\w++)\s*+(?P<types>\[(?:(?&part)|:)*+\])?\s*+
  (?P<params>\((?:(?&part)|:)*+\))(?:(?:[ \t]|\\\n)*+->(?:(?&text)|(?&group)|\w++|\\\n|[^()\[\]{}'"\#\w:\n]++)*+)?(?:[ \t]|\\\n)*+:
  (?=(?:[ \t]*+(?&note)?\n(?:[ \t\f]*+(?&note)?\n)*+[ \t\f]++|[ \t]*+)
@@ -111,7 +111,7 @@ _JAVA = r"""
    \w++(?:\s*+(?&angle))?(?:\s*+\.\s*+\w++(?:\s*+(?&angle))?)*+(?:\s*+\[\s*+\])*+\s*+)?+
 (?<!\w)(?P<name>(?!(?:if|for|while|switch|synchronized|catch|return|new|super|this)\b)[^\W\d]\w*+)\s*+(?P<params>(?&round))(?:\s*+\[\s*+\])*+
 (?:\s*+throws\b[\w\s.,<>@?&]++)?(?:\s*+default\b[^;]*+)?\s*+(?=(?P<body>(?&curly))|;)
-|(?:(?&note)|(?&text))(*SKIP)(*FAIL)
+|(?:[^/"']++|(?&note)|(?&text))(*SKIP)(*FAIL)
 """
 _python = regex.compile(_PY, regex.X | regex.S | regex.M)
 _java = regex.compile(_JAVA, regex.X | regex.S)
