@@ -110,7 +110,8 @@ def sentences_of(answer: Column) -> Column:
 def is_refusal(sentences: Column) -> Column:
     """Every sentence refuses (in any of the languages) or merely apologises, and at least one refuses."""
     pattern = "(?U)" + "|".join(REFUSALS.values())
-    return F.exists(sentences, lambda s: s.rlike(pattern)) & F.forall(sentences, lambda s: s.rlike(pattern) | s.rlike("(?U)" + ASIDES))
+    only = F.forall(sentences, lambda s: s.rlike(pattern) | s.rlike("(?U)" + ASIDES))  # ends at the first sentence that says more
+    return only & F.exists(sentences, lambda s: s.rlike(pattern))
 
 
 def is_truncated(answer: Column) -> Column:
