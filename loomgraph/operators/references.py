@@ -141,12 +141,11 @@ def orphan_report(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
 
     Repeated rows (equal edge_id) count once. Null rel, repository and period form groups of their own.
     """
-    edges = edges.select("edge_id", "src_id", "rel", "dst_id", "repository", "observed_at", "loaded_at").dropDuplicates(
-        ["edge_id"]
-    )
+    columns = ["edge_id", "src_id", "rel", "dst_id", "repository", "observed_at", "loaded_at"]
+    once = edges.select(*columns).dropDuplicates(["edge_id"])  # orphans are distinct by themselves
     one = lambda s: F.sum(F.when(F.col("status") == s, F.col("n")).otherwise(0)).alias(s)
     keys = ["rel", "repository", "period"]
-    totals = references(edges).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("status", F.lit("refs"))
+    totals = references(once).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("status", F.lit("refs"))
     lost = orphan_references(edges, nodes, **options).groupBy(*keys, "status").agg(F.count("*").alias("n"))
     return (
         totals.unionByName(lost)
