@@ -9,7 +9,9 @@ result is accepted if it gains more than ``margin`` nats. Chains whose right enc
 characters (such runs are valid UTF-8 by accident only rarely); chains between other encodings act on whole lines, after a
 look at the single characters only. Accepted lines are tried again, for text that was garbled twice.
 
-Replacement characters, C1 controls and question marks within the words of a line are lost text and count by themselves. A short piece that alone stands in quotes, or a
+Replacement characters and C1 controls are lost text and count by themselves. So do question marks in the place of letters, on
+any line: two words of a line with marks between letters, one word that the clean records have with other letters in their
+place, or a stretch of words made of marks alone. A short piece that alone stands in quotes, or a
 longer one in a sentence about encodings, is an example and left out of account.
 """
 
@@ -17,8 +19,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -47,9 +50,15 @@ _run = regex.compile(r"[^\x00-\x7f]+")
 _lost = regex.compile(r"[�\x80-\x84\x86-\x9f]")
 #: A word of letters and question marks: where two stand in a line, the marks are lost letters.
 _holes = regex.compile(r"(?<!\S)[^\w\s?]*\p{L}+(?:\?+\p{L}+)+[^\w\s]*(?!\S)")
-_hole = re.compile(r"\w\?+\w")
-#: Texts that can be affected at all.
-SUSPECT = r"[^\x00-\x7f]|\p{L}\?\p{L}"
+#: Words between blanks that are letters, marks and punctuation only, so no code and no address.
+_plain = regex.compile(r"(?<!\S)[\p{L}\p{M}?'’\-().,:;!\"«»“”]+(?!\S)")
+_word = regex.compile(r"[\p{L}\p{M}?]+")
+_letters = regex.compile(r"[\p{L}\p{M}]+")
+_other = re.compile(r"[^\x00-\x7f]+|\?+")
+#: Words of nothing but question marks, two or more, or one that is as long as two.
+_blanked = regex.compile(r"(?<![^\s(\"'«“])(?:\?{2,}[.,:;!]*\s+\?{3,}|\?{3,}[.,:;!]*\s+\?{2,}|\?{6,})(?![\w?])")
+#: Texts that can be affected at all: all that hold what ``_lost_letters`` looks for.
+SUSPECT = r"[^\x00-\x7f]|\p{L}\?+\p{L}|(?:^|[^\p{L}?])\?+\p{L}|\p{L}\?+[^\p{L}]+\p{Ll}|\?{2,}"
 _QUOTES = [('"', '"'), ("'", "'"), ("`", "`"), ("[“„]", "[”“]"), ("«", "»")]
 #: What stands alone between quotes, which themselves stand at the edge of a word: short pieces, and longer ones.
 _example, _quoted = (
@@ -122,11 +131,20 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+@lru_cache(maxsize=100_000)
+def _word_keys(pattern: str) -> tuple[int, int]:
+    """Two buckets of a word whose non-ASCII letters are question marks."""
+    h = int.from_bytes(blake2b(pattern.encode(), digest_size=8).digest(), "little")
+    return h & (1 << BITS) - 1, h >> 32 & (1 << BITS) - 1
+
+
 class Model:
     """Interpolated trigram model over hashed counts."""
 
     def __init__(self, counts: np.ndarray, total: float):
-        self.counts, self.total = counts, max(total, 1.0)
+        """``counts`` has ``2 ** BITS`` buckets of characters and, if it is longer, as many of words with other letters."""
+        self.counts, self.total = counts[: 1 << BITS], max(total, 1.0)
+        self.words = counts[1 << BITS :]
         self._single: dict[int, float] = {}
         #: Mean log-likelihood of a character that holds a 1 / 20 000 of the learned text.
         self.usual = float(np.log(1 / 20_000))
@@ -138,6 +156,10 @@ class Model:
             self._single[point] = float(np.log((n + 0.1) / (self.total + 0.1 * 20_000)))
         return self._single[point]
 
+    def knows(self, word: str) -> bool:
+        """Whether clean records have ``word``, in which question marks stand for non-ASCII letters, twice or more."""
+        return len(self.words) > 0 and all(self.words[b] >= 2 for b in _word_keys(_other.sub("?", word.lower())))
+
     def score(self, text: str) -> float:
         """Log-likelihood of ``text`` as a line."""
         p = _points("\n" + text + "\n")
@@ -246,12 +268,35 @@ def restore_line(line: str, model: Model) -> tuple[str, list[str]]:
     return line, chains
 
 
+def _lost_letters(line: str, model: Model) -> bool:
+    """Whether question marks stand in ``line`` where letters were."""
+    if "?" not in line:
+        return False
+    if _about.search(line):
+        line = _quoted.sub("", line)
+    if len(_holes.findall(line)) > 1 or _blanked.search(line):
+        return True
+    ends = 0
+    for token in _plain.finditer(line):
+        if "?" not in token[0]:
+            continue
+        for w in _word.finditer(token[0]):
+            inner = w[0].rstrip("?")
+            if "?" in inner and len(inner) > 2 and not inner.isupper() and model.knows(inner):
+                return True
+            # a mark at the end of a word is a letter only where a sentence goes on, and where it does so twice
+            goes_on = regex.match(r"\s+\p{Ll}", line[token.end() :]) and token.start() + w.end() == token.end()
+            if goes_on and inner.isascii() and len(inner) > 1 and inner != w[0] and model.knows(w[0]):
+                ends += 1
+    return ends > 1
+
+
 def inspect(text: str, model: Model, memory: dict) -> tuple[bool, str, list[str], bool]:
     """Whether ``text`` is affected, the text restored, the chains undone and whether characters are lost."""
     chains, out, lost = [], [], False
     for line in text.split("\n"):
         if line.isascii():
-            lost = lost or (_hole.search(line) is not None and len(_holes.findall(line)) > 1)
+            lost = lost or _lost_letters(line, model)
             out.append(line)
             continue
         if line not in memory:
@@ -259,7 +304,7 @@ def inspect(text: str, model: Model, memory: dict) -> tuple[bool, str, list[str]
                 memory.clear()
             seen, taken = masked(line)
             fixed, undone = restore_line(seen, model)
-            memory[line] = (unmasked(fixed, taken) if undone else line, undone, bool(_lost.search(fixed)), bool(_lost.search(seen)))
+            memory[line] = (unmasked(fixed, taken) if undone else line, undone, bool(_lost.search(fixed)) or _lost_letters(fixed, model), bool(_lost.search(seen)))
         fixed, undone, still, marks = memory[line]
         out.append(fixed)
         chains += [c for c in undone if c not in chains]
@@ -274,26 +319,36 @@ def _clean(text: str) -> bool:
     return not any(to_utf8(r, c) is not None for r in set(_run.findall(text)) if len(r) > 1 for c in ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp1250"))
 
 
+def count_texts(texts: Iterable[str]) -> tuple[np.ndarray, int]:
+    """What a model learns from ``texts``: counts of characters, then of words with non-ASCII letters, and the characters in all."""
+    counts, total = np.zeros(2 << BITS, dtype="int64"), 0
+    for t in texts:
+        if t.isascii() or not _clean(t):
+            continue
+        lines = [line for line in t.split("\n") if not line.isascii()]
+        if lines:
+            one, two, three = _keys(_points("\n" + "\n".join(lines) + "\n"))
+            np.add.at(counts, np.concatenate([one, two, three]), 1)
+            total += len(one)
+            for line in lines:
+                for w in _letters.findall(line):
+                    if not w.isascii() and len(p := _other.sub("?", w.lower())) > 1:
+                        for b in set(_word_keys(p)):
+                            counts[b + (1 << BITS)] += 1
+    return counts, total
+
+
 def train(documents: DataFrame, text: str = "text") -> Model:
-    """Counts over all clean records, in ``2 ** BITS`` buckets; at most that many rows come to the driver."""
+    """Counts over all clean records, in ``2 * 2 ** BITS`` buckets; at most that many rows come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, total = np.zeros(1 << BITS, dtype="int64"), 0
-        for batch in batches:
-            for t in batch["t"]:
-                if not _clean(t):
-                    continue
-                lines = [line for line in t.split("\n") if not line.isascii()]
-                if lines:
-                    one, two, three = _keys(_points("\n" + "\n".join(lines) + "\n"))
-                    np.add.at(counts, np.concatenate([one, two, three]), 1)
-                    total += len(one)
+        counts, total = count_texts(t for batch in batches for t in batch["t"])
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(counts[at], total)})
 
     texts = spread(documents.select(F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]")))
     rows = texts.mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << BITS, dtype="float64")
+    counts = np.zeros(2 << BITS, dtype="float64")
     real = rows["bucket"] >= 0
     counts[rows["bucket"][real]] = rows["n"][real]
     return Model(counts, float(rows["n"][~real].sum()))
@@ -308,7 +363,7 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text", model
     """
     model = model or train(documents, text)
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((model.counts.astype("float32"), model.total))
+    shared = spark.sparkContext.broadcast((np.concatenate([model.counts, model.words]).astype("float32"), model.total))
     types = dict(documents.dtypes)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -92,3 +92,21 @@ def test_letters_lost_as_question_marks(model):
     assert g.inspect("??c iterator t? t?p c?u h?nh r?i tr? v? danh s?ch", model, {})[::3] == (True, True)
     for text in ["Is it so? Yes", "see http://x/a?b=c and http://x/a?d=e", "x = a?b:c; y = d?e:f", "colou?r matches both"]:
         assert not g.inspect(text, model, {})[0]
+
+
+@pytest.mark.parametrize("text", [
+    "L'index relit le fichier m?thode.",  # one word, known with another letter
+    "La m??thode relit le fichier.",  # UTF-8 bytes replaced one by one
+    "M?i nút trong d? li?u có t?i đa ba c?nh.",  # beside letters that were kept
+    "??????? ??????? ?????? ????.",  # words of marks alone
+    "The note says ????????????.",
+])
+def test_letters_lost_on_any_line(spark, model, text):
+    assert g.inspect(text, model, {})[::3] == (True, True)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r.doc_id, r.lost) for r in g.garbled(df, model=model).collect()] == [(1, True)]
+
+
+@pytest.mark.parametrize("text", ["Est-ce que la méthode relit le fichier ? Où est-il ?", "a ?? b and c ?? d", "What??? Really??", "TODO: ??? later", "https?://x and colou?r", "Is it là? oui, là? non", "a codec that writes 'm?thode' for it"])
+def test_question_marks_that_stay(model, text):
+    assert not g.inspect(text, model, {})[0]
