@@ -6,8 +6,10 @@ the corpus, which bounds what is broadcast.
 
 *Scoring.* Each line with non-ASCII characters is scored against what every encode-decode chain makes of it; the likeliest
 result is accepted if it gains more than ``margin`` nats. Chains whose right encoding is UTF-8 act on each run of non-ASCII
-characters (such runs are valid UTF-8 by accident only rarely); chains between other encodings act on whole lines, after a
-look at the single characters only. Accepted lines are tried again, for text that was garbled twice.
+characters (such runs are valid UTF-8 by accident only rarely). Chains between other encodings act on the line, on the stretch
+of words that gains most and on all words that gain, after a look at the single characters only; characters that the codec
+lacks stay as they are. Chains from or to a double-byte encoding act on the words between blanks, since a blank is never part of
+a longer character. Accepted lines are tried again, for text that was garbled twice or in several ways.
 
 Replacement characters and C1 controls are lost text and count by themselves. So do question marks in the place of letters, on
 any line: two words of a line with marks between letters, one word that the clean records have with other letters in their
@@ -18,10 +20,10 @@ longer one in a sentence about encodings, is an example and left out of account.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -92,11 +94,7 @@ for _w in SINGLE:
         if _w != _r and any(chr(k) != v for k, v in m.items()):
             _MAPS[_w, _r] = m
 _MAP_LIST = list(_MAPS.items())
-#: For each character the set of maps that have it, as bits.
-_HOLDS: dict[str, int] = {}
-for _i, (_, _m) in enumerate(_MAP_LIST):
-    for _c in _m:
-        _HOLDS[chr(_c)] = _HOLDS.get(chr(_c), 0) | 1 << _i
+_blank = re.compile(r"( +)")
 
 
 def _bytes(text: str, codec: str) -> bytes | None:
@@ -146,6 +144,8 @@ class Model:
         self.counts, self.total = counts[: 1 << BITS], max(total, 1.0)
         self.words = counts[1 << BITS :]
         self._single: dict[int, float] = {}
+        self._gains: dict[str, np.ndarray] = {}
+        self._double: dict[str, list[tuple[str, str]]] = {}
         #: Mean log-likelihood of a character that holds a 1 / 20 000 of the learned text.
         self.usual = float(np.log(1 / 20_000))
 
@@ -156,13 +156,38 @@ class Model:
             self._single[point] = float(np.log((n + 0.1) / (self.total + 0.1 * 20_000)))
         return self._single[point]
 
+    def gains(self, char: str) -> np.ndarray:
+        """What each of ``_MAP_LIST`` gains at one character by itself; 0 where it leaves the character."""
+        if char not in self._gains:
+            own = self.single(ord(char))
+            self._gains[char] = np.array([self.single(ord(m[ord(char)])) - own if ord(char) in m else 0.0 for _, m in _MAP_LIST])
+        return self._gains[char]
+
+    def mean(self, text: str) -> float:
+        """Mean log-likelihood of the non-ASCII characters of ``text`` by themselves; minus infinity if there are none."""
+        high = [self.single(ord(c)) for c in text if c > "\x7f"]
+        return sum(high) / len(high) if high else -np.inf
+
+    def double(self, word: str) -> list[tuple[str, str]]:
+        """What chains from or to a double-byte encoding make of ``word``, if that is of likelier characters."""
+        if word not in self._double:
+            if len(self._double) > 100_000:
+                self._double.clear()
+            before, usual = sum(self.single(ord(c)) for c in word), self.mean(word)
+            self._double[word] = [
+                (chain, out)
+                for chain, out in _double_chains(word, any(c > "\x7f" and self.single(ord(c)) <= self.usual for c in word))
+                if sum(self.single(ord(c)) for c in out) - before > MARGIN_SINGLE and (out.isascii() or self.mean(out) > usual)
+            ]
+        return self._double[word]
+
     def knows(self, word: str) -> bool:
         """Whether clean records have ``word``, in which question marks stand for non-ASCII letters, twice or more."""
         return len(self.words) > 0 and all(self.words[b] >= 2 for b in _word_keys(_other.sub("?", word.lower())))
 
-    def score(self, text: str) -> float:
-        """Log-likelihood of ``text`` as a line."""
-        p = _points("\n" + text + "\n")
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log-likelihood of each of ``texts`` as a line, but for the line's start, which all have."""
+        p = _points("".join("\0\0\n" + t + "\n" for t in texts))
         one, two, three = _keys(p)
         n = self.counts
         p1 = (n[one] + 0.1) / (self.total + 0.1 * 20_000)
@@ -170,7 +195,12 @@ class Model:
         before2 = np.concatenate([[self.total], n[two[:-1]]])
         p2 = (n[two] + 2.0 * p1) / (before1 + 2.0)
         p3 = (n[three] + 2.0 * p2) / (before2 + 2.0)
-        return float(np.log(np.minimum(p3, 1.0)).sum())
+        sizes = np.array([len(t) + 4 for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        logs = np.log(np.minimum(p3, 1.0))
+        for k in range(3):
+            logs[starts + k] = 0.0
+        return np.add.reduceat(logs, starts)
 
 
 def masked(line: str) -> tuple[str, list[str]]:
@@ -222,24 +252,31 @@ def _candidates(line: str, model: Model) -> Iterator[tuple[str, str, float]]:
         for codec in SINGLE:
             if (out := to_utf8(line, codec, longer)) is not None:
                 yield f"utf-8>{codec}", out, MARGIN_UTF8
-    high = Counter(c for r in runs for c in r)
-    for r in high:
-        high[r] = line.count(r)
-    single = model.single
-    able = -1
-    for c in high:
-        able &= _HOLDS.get(c, 0)
-    while able:
-        bit = able & -able
-        able ^= bit
-        (wrong, right), table = _MAP_LIST[bit.bit_length() - 1]
-        if sum((single(ord(table[ord(c)])) - single(ord(c))) * n for c, n in high.items()) > MARGIN_SINGLE:
-            yield f"{right}>{wrong}", line.translate(table), MARGIN_OTHER
-    if sum(single(ord(c)) * n for c, n in high.items()) / sum(high.values()) > model.usual:
+    pieces = _blank.split(line)  # words at even places
+    words = [(i, w) for i, w in enumerate(pieces) if not w.isascii()]
+    by_word = np.array([np.sum([model.gains(c) for c in w if c > "\x7f"], axis=0) for _, w in words])
+    for k in np.flatnonzero(np.maximum(by_word, 0.0).sum(axis=0) > MARGIN_SINGLE):
+        (wrong, right), table = _MAP_LIST[k]
+        gain = by_word[:, k]
+        tried = set()
+        for chosen in (range(len(words)), _stretch(gain), np.flatnonzero(gain > 0)):
+            if (key := tuple(chosen)) not in tried and sum(gain[j] for j in key) > MARGIN_SINGLE:
+                tried.add(key)
+                yield f"{right}>{wrong}", _replaced(pieces, {words[j][0]: words[j][1].translate(table) for j in key}), MARGIN_OTHER
+    chains: dict[str, dict[int, str]] = {}
+    for i, w in words:
+        for chain, out in model.double(w):
+            chains.setdefault(chain, {})[i] = out
+    for chain, new in chains.items():
+        yield chain, _replaced(pieces, new), MARGIN_OTHER
+    for codec in DOUBLE:
+        rare = {r for r in runs if model.mean(r) <= model.usual}
+        for some in (runs, rare) if rare and rare != runs else (runs,):
+            if (out := to_utf8(line, codec, some)) is not None:
+                yield f"utf-8>{codec}", out, MARGIN_OTHER
+    if model.mean(line) > model.usual:
         return
     for codec in DOUBLE:
-        if (out := to_utf8(line, codec, runs)) is not None:
-            yield f"utf-8>{codec}", out, MARGIN_OTHER
         for wrong in SINGLE:
             raw = _bytes(line, wrong)
             if raw is not None:
@@ -249,22 +286,74 @@ def _candidates(line: str, model: Model) -> Iterator[tuple[str, str, float]]:
                     pass
 
 
+def _stretch(gain: np.ndarray) -> range:
+    """The consecutive words that gain most together."""
+    best, at, total, start = 0.0, range(0), 0.0, 0
+    for j, g in enumerate(gain):
+        if total <= 0:
+            total, start = 0.0, j
+        total += g
+        if total > best:
+            best, at = total, range(start, j + 1)
+    return at
+
+
+def _replaced(pieces: list[str], new: dict[int, str]) -> str:
+    return "".join(new.get(i, x) for i, x in enumerate(pieces))
+
+
+@lru_cache(maxsize=200_000)
+def _held(char: str, codec: str) -> bool:
+    return char != MARK and _bytes(char, codec) is not None
+
+
+def _spans(word: str, codec: str) -> list[str]:
+    """``word`` cut where characters that ``codec`` has meet such that it lacks."""
+    return ["".join(g) for _, g in groupby(word, lambda c: _held(c, codec))]
+
+
+def _double_chains(word: str, rare: bool) -> Iterator[tuple[str, str]]:
+    """(chain, result) for ``word`` from a double-byte encoding read as a single-byte one; if ``rare``, also from any other
+    encoding read as a double-byte one."""
+    ways = [(wrong, DOUBLE) for wrong in SINGLE]
+    if rare:
+        ways += [(wrong, [*(r for r in DOUBLE if r != wrong), *RIGHT_SINGLE]) for wrong in DOUBLE]
+    for wrong, rights in ways:
+        raws = [(x, None if x.isascii() else _bytes(x, wrong)) for x in _spans(word, wrong)]
+        if all(raw is None for _, raw in raws):
+            continue
+        for right in rights:
+            out = []
+            for x, raw in raws:
+                try:
+                    out.append(x if raw is None else raw.decode(right))
+                except UnicodeDecodeError:
+                    out.append(x)
+            if (new := "".join(out)) != word:
+                yield f"{right}>{wrong}", new
+
+
 def restore_line(line: str, model: Model) -> tuple[str, list[str]]:
     """The line restored and the chains that were undone, the last one applied first; none if it is sound."""
     chains: list[str] = []
-    for _ in range(MAX_LAYERS):
+    for _ in range(MAX_LAYERS * max(1, len(_run.findall(line)))):  # stretches may differ in what was done to them
         if line.isascii():
             break
-        base = model.score(line)
-        best = (0.0, "", "")
+        made: dict[str, tuple[str, float]] = {}
         for chain, out, margin in _candidates(line, model):  # the first of equals
-            gain = model.score(out) - base - margin
-            if gain > best[0] + 1e-9:
-                best = (gain, chain, out)
-        if not best[1]:
+            made.setdefault(out, (chain, margin))
+        made.pop(line, None)
+        if not made:
+            break
+        scores = model.scores([line, *made])
+        gains = scores[1:] - scores[0] - [margin for _, margin in made.values()]
+        k = int(np.argmax(gains))
+        if gains[k] <= 1e-9:
             break
-        chains.append(best[1])
-        line = best[2]
+        best = list(made.items())[k]
+        if best[1][0] not in chains or len(chains) < MAX_LAYERS:
+            chains.append(best[1][0])
+        line = best[0]
     return line, chains
 
 

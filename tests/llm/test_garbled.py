@@ -110,3 +110,22 @@ def test_letters_lost_on_any_line(spark, model, text):
 @pytest.mark.parametrize("text", ["Est-ce que la méthode relit le fichier ? Où est-il ?", "a ?? b and c ?? d", "What??? Really??", "TODO: ??? later", "https?://x and colou?r", "Is it là? oui, là? non", "a codec that writes 'm?thode' for it"])
 def test_question_marks_that_stay(model, text):
     assert not g.inspect(text, model, {})[0]
+
+
+MIXED = [
+    ("Функция сначала читает файл", "cp1251", "cp1252", "→ {} ✓"),  # beside characters that the codec lacks
+    ("Функция сначала читает файл", "cp1251", "cp1252", "La méthode relit le fichier avant que la classe ne soit créée. {} 索引"),
+    ("索引が古い場合は再解析してください", "cp932", "cp1252", "Функция сначала читает файл номер 7, а затем обновляет каждый узел графа заново. {} Функция"),
+    ("関数は", "utf-8", "cp932", "Функция сначала читает файл номер 7, а затем обновляет каждый узел графа заново. {}"),
+    ("La méthode relit le fichier avant que la classe", "cp1252", "gbk", "{}"),  # a single-byte encoding read as a double-byte one
+    ("各ノードは最大の辺を持ちます", "euc_jp", "gbk", "{}"),
+]
+
+
+@pytest.mark.parametrize("text, right, wrong, around", MIXED)
+def test_stretch_of_another_encoding(model, text, right, wrong, around):
+    bad = text.encode(right).decode(wrong, errors="replace") if wrong in g.DOUBLE else decode(text, right, wrong)
+    if "\ufffd" in bad:
+        text, bad = text[:-1], text[:-1].encode(right).decode(wrong)
+    hit, fixed, chains, _ = g.inspect(around.format(bad), model, {})
+    assert hit and fixed == around.format(text), (chains, fixed)
