@@ -13,8 +13,8 @@ a longer character. Accepted lines are tried again, for text that was garbled tw
 
 Replacement characters and C1 controls are lost text and count by themselves. So do question marks in the place of letters, on
 any line: two words of a line with marks between letters, one word that the clean records have with other letters in their
-place, or a stretch of words made of marks alone. A short piece that alone stands in quotes, or a
-longer one in a sentence about encodings, is an example and left out of account.
+place, or a stretch of words made of marks alone. A piece of up to 12 characters that alone
+stands in quotes in a sentence about encodings or tests is an example and left out of account.
 """
 
 from __future__ import annotations
@@ -67,10 +67,16 @@ _example, _quoted = (
     regex.compile("|".join(rf"(?<=(?:^|[\s(\[=:,]){o}){piece}(?={c}(?!\w))" for o, c in _QUOTES))
     for piece in (r"[^\s\"'`”“»]{1,6}", r"[^\n\"'`”“»]{1,12}")
 )
-_about = regex.compile(r"codec|encod|decod|charset|character set|utf-?(?:8|16)|unicode|mojibake|latin-?1|cp125\d|bytes?\b|garbled", regex.I)
+_about = regex.compile(
+    r"codec|encod|decod|charset|character set|code ?page|utf-?(?:8|16)|unicode|mojibake|latin-?1|iso-?8859|cp125\d|windows-125\d|shift.?jis|\bbytes?\b|"
+    r"garbled|misread|diacritic|replacement character|errors=|codifica|kodier|zeichensatz|кодировк|文字化け|文字コード|mã hóa|bảng mã",
+    regex.I,
+)
+#: Sentences about tests; in these the short pieces are examples.
+_tests = regex.compile(r"\b(?:tests?|tested|fixtures?|assert\w*|on purpose|deliberately)\b", regex.I)
 #: Stands for an example while its line is restored; no chain changes it.
 MARK = "\x01"
-_sentence = regex.compile(r"(?<=[.!?])\s+")
+_sentence = regex.compile(r"((?<=[.!?])\s+)")
 
 
 def _table(codec: str) -> dict[str, int]:
@@ -215,10 +221,15 @@ def masked(line: str) -> tuple[str, list[str]]:
 
     if MARK in line:
         return line, []
-    line = _example.sub(blank, line)
-    if line.isascii() or taken or not _about.search(line):
-        return line, taken
-    return " ".join(_quoted.sub(blank, s) if _about.search(s) else s for s in _sentence.split(line)), taken
+
+    def seen(sentence: str) -> str:
+        if sentence.isascii():
+            return sentence
+        if _about.search(sentence):
+            return _quoted.sub(blank, sentence)
+        return _example.sub(blank, sentence) if _tests.search(sentence) else sentence
+
+    return "".join(seen(x) for x in _sentence.split(line)), taken
 
 
 def unmasked(line: str, taken: list[str]) -> str:

@@ -129,3 +129,14 @@ def test_stretch_of_another_encoding(model, text, right, wrong, around):
         text, bad = text[:-1], text[:-1].encode(right).decode(wrong)
     hit, fixed, chains, _ = g.inspect(around.format(bad), model, {})
     assert hit and fixed == around.format(text), (chains, fixed)
+
+
+@pytest.mark.parametrize("text, whole", [('The button is labelled "CafÃ©" in the menu.', 'The button is labelled "Café" in the menu.'), ("name = 'Ã©tÃ©'", "name = 'été'")])
+def test_garbled_names_in_quotes_are_cases(model, text, whole):
+    assert g.inspect(text, model, {})[:2] == (True, whole)
+
+
+def test_example_ends_with_its_sentence(model):
+    text = "The codec is wrong where it says 'Ã©'.  The label is 'Ã©tÃ©' here."
+    assert g.inspect(text, model, {})[:2] == (True, text.replace("Ã©tÃ©", "été"))
+    assert not g.inspect(text.split("  ")[0], model, {})[0]
