@@ -47,7 +47,12 @@ WORDS = {
     "pt": "o a os as se que em um uma para de não por como do da e quando ao é são com mas também dos das pela pelo ou seu sua após antes ainda",
 }
 VI_LETTER = "[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
-SCRIPTS = {"ru": r"\p{IsCyrillic}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]", "ko": r"\p{IsHangul}", "el": r"\p{IsGreek}", "th": r"\p{IsThai}", "ar": r"\p{IsArabic}"}
+SCRIPTS = {"ru": r"\p{IsCyrillic}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]", "ko": r"\p{IsHangul}", "el": r"\p{IsGreek}", "th": r"\p{IsThai}", "ar": r"\p{IsArabic}", "he": r"\p{IsHebrew}", "hi": r"\p{IsDevanagari}"}
+HAN = r"\p{IsHan}"
+#: Different words that prose must have before it counts that none of them is a frequent one of the question's language.
+LONG = 12
+#: Han letters without kana from which an answer is no longer Japanese.
+LONG_HAN = 12
 
 FENCE = "(?s)```.*?```"
 
@@ -64,6 +69,9 @@ def _prose(text: Column) -> Column:
 def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``, the language of the prose of ``text`` by script and frequent words; null where two tie or nothing speaks.
 
+    Adds also ``out``_hits (array of n, lang, the most first), ``out``_words (number of different words) and ``out``_han (Han
+    letters). Han letters without kana are Chinese.
+
     Counted are different frequent words, words in a script of one language and Vietnamese letters.
     """
     df = df.withColumn("_prose", _prose(F.col(text)))
@@ -71,10 +79,29 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     hits = {k: F.size(F.array_intersect("_words", F.lit(v.split()))) for k, v in WORDS.items()}
     hits["vi"] = hits["vi"] + F.regexp_count("_prose", F.lit(VI_LETTER))
     hits |= {k: F.regexp_count("_prose", F.lit(letter + "+")) for k, letter in SCRIPTS.items()}
+    df = df.withColumn("_han", F.regexp_count("_prose", F.lit(HAN)))
+    hits["zh"] = F.when(F.col("_prose").rlike(SCRIPTS["ja"]), 0).otherwise(F.ceil(F.col("_han") / 2).cast("int"))
     ranked = F.reverse(F.array_sort(F.array(*(F.struct(n.alias("n"), F.lit(k).alias("lang")) for k, n in hits.items()))))
     df = df.withColumn("_ranked", ranked)
     first, second = F.col("_ranked")[0], F.col("_ranked")[1]
-    return df.withColumn(out, F.when(first["n"] > second["n"], first["lang"])).drop("_prose", "_words", "_ranked")
+    df = df.withColumn(out, F.when(first["n"] > second["n"], first["lang"])).withColumn(f"{out}_words", F.size("_words"))
+    return df.withColumnsRenamed({"_ranked": f"{out}_hits", "_han": f"{out}_han"}).drop("_prose", "_words")
+
+
+def is_other_language(q: str, a: str) -> Column:
+    """The answer's prose is in another language than the question's, by the columns of ``with_language``.
+
+    Where the answer's language is not clear, it is another one if languages tie of which none is the question's, or if long
+    prose has no hit of the question's language. Where the question's is not clear, scripts are compared.
+    """
+    lang, hits = F.col(q), F.col(f"{a}_hits")
+    most = hits[0]["n"]
+    own = F.element_at(F.filter(hits, lambda h: h["lang"] == lang), 1)["n"]
+    japanese = (lang == "ja") & (F.col(a) == "zh") & (F.col(f"{a}_han") < LONG_HAN)
+    unclear = F.col(a).isNull() & (own == 0) & ((most >= 2) | (F.col(f"{a}_words") >= LONG))
+    same_script = F.element_at(F.filter(F.col(f"{q}_hits"), lambda h: h["lang"] == F.col(a)), 1)["n"] + F.col(f"{q}_han") > 0
+    script = F.col(a).isin(*SCRIPTS, "zh") & (F.col(f"{q}_words") >= 4) & ~same_script
+    return F.when(lang.isNull(), script).when(F.col(a).isNull(), unclear).otherwise((lang != F.col(a)) & ~japanese)
 
 
 def _letters(text: Column) -> Column:
@@ -148,7 +175,7 @@ def answer_defects(records: DataFrame, key: str = "record_id", question: str = "
         "empty": is_empty(a),
         "copy": is_copy(F.col("q_letters"), F.col("a_letters")),
         "refusal": is_refusal(F.col("sentences")),
-        "language": F.col("q_lang") != F.col("a_lang"),
+        "language": is_other_language("q_lang", "a_lang"),
         "truncated": is_truncated(a),
     }
     for name, rule in rules.items():

@@ -39,3 +39,16 @@ def test_very_long_answer(spark):
 def test_empty_table(spark, operator):
     df = spark.createDataFrame([], "record_id long, mode string, question string, answer string")
     assert operator(df).count() == 0
+
+
+JA = "なぜ CachedParser は reserve_watcher より先に fetch_query を呼ぶのですか？"
+POLISH = "Klasa przechowuje jeden obiekt dla każdego wywołania oraz zwalnia pozostałe zasoby dopiero po zakończeniu całej operacji."
+
+
+@pytest.mark.parametrize("q, a, defect", [
+    (EN, "该类先读取缓存，然后更新索引并返回结果。", "language"), (JA, "该类先读取缓存，然后更新索引并返回结果。", "language"), (EN, POLISH, "language"), (POLISH, "该类先读取缓存，然后更新索引并返回结果。", "language"),
+    (JA, "最大値。", None), (JA, "はい、先に索引を読み込みます。", None), ("为什么解析器先读取缓存？", "该类先读取缓存，然后返回结果。", None), ("为什么解析器先读取缓存？", "The class keeps one anchor and drops the rest.", "language"),
+])
+def test_languages_without_word_list(spark, q, a, defect):
+    df = spark.createDataFrame([(1, q, a)], "record_id long, question string, answer string")
+    assert [r.defect for r in answer_defects(df).collect()] == ([defect] if defect else [])
