@@ -15,7 +15,7 @@ from loomgraph.operators import code, ranking
 from loomgraph.operators.percentile import exact_percentiles
 from loomgraph.operators.retrieval import retrieve
 from loomgraph.operators.vectors import cosine_top_k
-from loomgraph.sources.files import anchor_excerpts, faulty_cases, snapshot_changes
+from loomgraph.sources.files import anchor_excerpts, faulty_cases, normal_path, snapshot_changes
 from loomgraph.sources.graph import graph
 from loomgraph.sources.tables import table
 
@@ -317,7 +317,10 @@ def gold_faults(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def chunk_excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of every chunk read again from its file: anchor, excerpt."""
-    c = table(spark, folder, "chunks", "file_path", "start_line", "end_line").select(F.format_string("%s:%d-%d", "file_path", "start_line", "end_line").alias("anchor")).distinct()
-    files = table(spark, folder, "source_files", "file_path", "content").where("content IS NOT NULL").dropDuplicates(["file_path"])
+    """The lines of every chunk read again from the last loaded row of its file: repository, anchor, excerpt."""
+    anchor = F.format_string("%s:%d-%d", normal_path(F.col("file_path")), "start_line", "end_line")
+    c = table(spark, folder, "chunks", "repository", "file_path", "start_line", "end_line").select("repository", anchor.alias("anchor")).distinct()
+    files = table(spark, folder, "source_files", "file_id", "repository", "file_path", "content", "loaded_at").where("content IS NOT NULL")
+    last = F.max_by("content", F.struct("loaded_at", "file_id"))
+    files = files.groupBy("repository", normal_path(F.col("file_path")).alias("file_path")).agg(last.alias("content"))
     return anchor_excerpts(c, files)

@@ -92,13 +92,25 @@ def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
 
 
+def normal_path(path: Column) -> Column:
+    """A path as one would compare it: forward slashes, no leading './', '/' or 'src/', lower case."""
+    return F.regexp_replace(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), r"^(?:\./|/)+(?:src/)?|^src/|(?<=/)(?:\./|/)+", "")
+
+
 def anchor_excerpts(anchors: DataFrame, files: DataFrame) -> DataFrame:
-    """Text of anchors 'file:first-last' (column ``anchor``): anchor, excerpt; null where the lines are not in the file."""
+    """Text of anchors 'file:first-last' (column ``anchor``): anchor, excerpt; null where the lines are not in the file.
+
+    Where the anchors have a ``repository``, so do the files and the result, and paths are compared whatever their spelling.
+    """
     pattern = r"^(.+):(\d+)-(\d+)$"
     part = lambda k: F.regexp_extract("anchor", pattern, k)
-    a = anchors.where(F.col("anchor").rlike(pattern)).select("anchor", part(1).alias("path"), part(2).cast("int").alias("first"), part(3).cast("int").alias("last"))
+    a = anchors.where(F.col("anchor").rlike(pattern)).select(*(c for c in anchors.columns if c in ("repository", "anchor")), part(1).alias("path"), part(2).cast("int").alias("first"), part(3).cast("int").alias("last"))
     lines = F.split("content", r"\r\n|\r|\n")
     inside = (F.col("first") >= 1) & (F.col("last") >= F.col("first")) & (F.col("last") <= F.size(lines))
     text = F.array_join(F.slice(lines, F.col("first"), F.col("last") - F.col("first") + 1), "\n")
+    if "repository" in anchors.columns:
+        f = files.select(F.col("repository").alias("f_repository"), normal_path(F.col("file_path")).alias("f_path"), "content")
+        on = (normal_path(F.col("path")) == F.col("f_path")) & F.col("repository").eqNullSafe(F.col("f_repository"))
+        return a.join(f, on, "left").select("repository", "anchor", F.when(inside, text).alias("excerpt"))
     joined = a.join(files.select("file_path", "content"), a["path"] == F.col("file_path"), "left")
     return joined.select("anchor", F.when(inside, text).alias("excerpt"))

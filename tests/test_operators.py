@@ -249,3 +249,13 @@ def test_skeletons(spark):
     f = spark.createDataFrame([(1, text), (2, None)], "file_id long, content string")
     focus = spark.createDataFrame([(1, ["keep"]), (2, [])], "file_id long, names array<string>")
     assert {r.file_id: r.skeleton for r in code.skeletons(f, focus).collect()} == {1: got, 2: None}
+
+
+def test_chunk_excerpts_by_repository(spark, tmp_path):
+    from loomgraph.plans.record_queries import chunk_excerpts
+
+    spark.createDataFrame([("r", "a.py", 1, 1), ("s", "./a.py", 1, 1)], "repository string, file_path string, start_line int, end_line int").write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = [(1, "r", "a.py", "old", 1), (2, "r", "a.py", "new", 2), (3, "s", "a.py", "other", 1)]
+    files = spark.createDataFrame(rows, "file_id long, repository string, file_path string, content string, day int")
+    files.selectExpr("*", "timestamp_seconds(day) AS loaded_at").write.parquet(f"{tmp_path}/source_files.parquet")
+    assert {(r.repository, r.excerpt) for r in chunk_excerpts(spark, str(tmp_path)).collect()} == {("r", "new"), ("s", "other")}
