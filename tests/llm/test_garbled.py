@@ -140,3 +140,56 @@ def test_example_ends_with_its_sentence(model):
     text = "The codec is wrong where it says 'Ã©'.  The label is 'Ã©tÃ©' here."
     assert g.inspect(text, model, {})[:2] == (True, text.replace("Ã©tÃ©", "été"))
     assert not g.inspect(text.split("  ")[0], model, {})[0]
+
+
+SOUND = [
+    "Öffnen", "À faire", "Да", "°C", "…", "½", "© 2024", "§ 3", "Её", "Señor", "Spaß“", "É !", "№ 5", "µs", "Łódź", "日本", "한국어 문서",
+    "Zażółć gęślą jaźń", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Η γλώσσα είναι εύκολη", "Árvíztűrő tükörfúrógép", "Œuvre", "Işık", "Đà Nẵng",
+]
+
+
+@pytest.mark.parametrize("text", SOUND)
+def test_short_lines_and_strange_letters_stay(model, text):
+    assert g.inspect(text, model, {}) == (False, text, [], False)
+
+
+def test_of_held_out_sound_lines_at_most_one_in_a_thousand_changes(model):
+    rnd, words = random.Random(5), sorted({w for line in LINES for w in line.split()})
+    lines = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) for _ in range(3000)]
+    lines = [x for x in lines if not x.isascii()]
+    assert sum(g.inspect(x, model, {})[0] for x in lines) <= len(lines) / 1000
+
+
+def test_garbled_four_times(model):
+    text = bad = LINES[1].format(n=3)
+    for _ in range(4):
+        bad = decode(bad, "utf-8", "cp1252")
+    assert g.inspect(bad, model, {})[1] == text
+
+
+def test_letters_no_record_has_come_back_where_all_are_utf8(model):
+    text = "Zażółć gęślą jaźń i łódź na końcu świata, więc proszę bardzo"
+    assert g.inspect(decode(text, "utf-8", "cp1252"), model, {})[1] == text
+
+
+def test_short_line_is_restored_by_what_its_document_shows(model):
+    text = LINES[0].format(n=1) + "\nné"
+    assert g.inspect(decode(text, "utf-8", "cp1252"), model, {})[1] == text
+
+
+@pytest.mark.parametrize("right", ["utf-16-le", "utf-16-be"])
+def test_two_byte_characters_read_byte_by_byte(model, right):
+    assert g.inspect("note: " + "Mỗi nút"[2:].encode(right).decode("latin-1") + LINES[0].format(n=2).encode(right).decode("latin-1"), model, {})[0]
+    text = "La méthode relit le fichier."
+    assert g.inspect(text.encode(right).decode("latin-1"), model, {})[1] == text
+
+
+def test_utf8_read_as_two_byte_characters(model):
+    text = "La méthode relit le fichier avant que la classe ne soit créée"
+    text += "." * (len(text.encode()) % 2)
+    hit, fixed, chains, _ = g.inspect(text.encode().decode("utf-16-le"), model, {})
+    assert hit and fixed == text and chains == ["utf-8>utf-16-le"]
+
+
+def test_margins_come_from_decoys():
+    assert g.learned_margins({(-1, 0): 1000})[0] < g.learned_margins({(-1, 0): 1000, (0, 30): 5})[0] == 15.0
