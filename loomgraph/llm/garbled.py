@@ -48,6 +48,8 @@ BITS = 21
 FLOOR, NOVEL = float(np.log(1 / 500)), -10.5
 #: Margin for a chain that another line of the document has shown; share of sound lines that may exceed the margin of others.
 AGAIN, FALSE_SHARE = 1.0, 0.0005
+#: Share of the text below which a context is rare.
+RARE = 3e-5
 #: Buckets of margins: up to so many non-ASCII characters in the stretch.
 SIZES = [1, 2, 4, 8, 16, 1 << 30]
 
@@ -345,9 +347,12 @@ class Found:
         return self.gains[self.which]  # the last gain, 0, where a chain changes nothing
 
 
-def _mixed(n: np.ndarray, of: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probability of what was seen ``n`` times ``of`` so many, with the shorter context's in part."""
-    part = 2.0 + 0.05 * of
+def _mixed(n: np.ndarray, of: np.ndarray, lower: np.ndarray, total: float) -> np.ndarray:
+    """Probability of what was seen ``n`` times ``of`` so many, with the shorter context's in part.
+
+    Contexts that hold less than ``RARE`` of the text count little at any size: garbled records among the clean ones make such.
+    """
+    part = 2.0 + 0.05 * of + RARE * total
     return (n + part * lower) / (of + part)
 
 
@@ -379,8 +384,8 @@ class Model:
         places = [self.counts[k] for k in _keys(p)]
         n1, n2, n3 = places[0], np.minimum(places[1], places[2]), np.minimum(places[3], places[4])
         p1 = (n1 + 0.1) / (self.total + 0.1 * 20_000)
-        p2 = _mixed(n2, np.concatenate([[self.total], n1[:-1]]), p1)
-        p3 = _mixed(n3, np.concatenate([[self.total], n2[:-1]]), p2)
+        p2 = _mixed(n2, np.concatenate([[self.total], n1[:-1]]), p1, self.total)
+        p3 = _mixed(n3, np.concatenate([[self.total], n2[:-1]]), p2, self.total)
         logs = np.log(np.minimum(p3, 1.0))
         plain = p < 128
         plain[1:] &= plain[:-1]
