@@ -13,10 +13,13 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests, a laptop)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session, or its checkpoint directory; a folder of our own only where neither is set and
+    all runs on one machine (tests, a laptop)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(f"file://{tempfile.mkdtemp(prefix='spark-loomgraph-')}")
     return _OWN[0]
@@ -38,10 +41,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self) -> None:
+    def drop(self, name: str = "") -> None:
+        """Deletes a table that no later step reads, or all of them."""
         try:
             jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.root)
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:
             pass  # the session is already closed

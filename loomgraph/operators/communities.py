@@ -15,8 +15,8 @@ def members(nodes: DataFrame) -> DataFrame:
 
 
 def communities(nodes: DataFrame) -> DataFrame:
-    """Communities of at least two members: community, size."""
-    return members(nodes).groupBy("community").agg(F.count("*").alias("size")).where("size >= 2")
+    """community, size; folders of a single member are communities too."""
+    return members(nodes).groupBy("community").agg(F.count("*").alias("size"))
 
 
 def crossing(links: DataFrame, member: DataFrame) -> DataFrame:

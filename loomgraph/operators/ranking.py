@@ -14,8 +14,10 @@ def ranked(lists: DataFrame, keys: list[str], items: str) -> DataFrame:
 
 
 def fuse(ranks: DataFrame, group: list[str], weight: Column, k: int = 60) -> DataFrame:
-    """group, item, score, lists: the sum of weight / (k + rank) over the lists that hold an item, to 6 decimals."""
-    return ranks.groupBy(*group, "item").agg(F.round(F.sum(weight / (F.lit(k) + F.col("rank"))), 6).alias("score"), F.count("*").alias("lists"))
+    """group, item, score, lists: the sum of weight / (k + rank) over the lists that hold an item, in whole billionths, so that
+    the order of adding up does not matter."""
+    part = F.round(weight / (F.lit(k) + F.col("rank")) * 1e9).cast("bigint")
+    return ranks.groupBy(*group, "item").agg((F.sum(part) / 1e9).alias("score"), F.count("*").alias("lists"))
 
 
 def top(scored: DataFrame, group: list[str], n: int) -> DataFrame:

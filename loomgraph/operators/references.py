@@ -1,14 +1,17 @@
 """References to records that do not exist (problem 1).
 
 Every edge names two nodes. A reference is *orphaned* when, at the time the edge was loaded, no row of the named node was
-live. The plan splits references by how often their key is named:
-
-* references are pre-aggregated per key and month (map-side combined), which yields the heavy keys: at most
-  ``1 / heavy_share`` of them, whatever the data;
-* references to heavy keys never travel. The live intervals of those keys are counted first and broadcast if they are at
-  most ``max_broadcast_rows``; otherwise the references are salted and the intervals copied to every salt;
-* all other references go through a shuffled anti-join on the key with the validity interval as a residual condition;
-* both results are united.
+live. The plan rests on one aggregate and splits references by how often their key is named:
+
+* references are pre-aggregated per key and month (map-side combined): how many, the first and the last time. Compared with the
+  intervals in which the key was live, nearly every such group is decided as a whole: always live, missing, late or deleted.
+  The few that are not are *mixed*;
+* groups that are always live are dropped. If those left are at most ``max_broadcast_rows`` they are broadcast and references
+  do not travel at all. Otherwise only the heavy ones are (those that would fill a quarter of a shuffle partition, which bounds
+  their number), and the references of all others are shuffled on key and month;
+* mixed groups go through an anti-join with the live intervals, broadcast behind the same check, or salted where a key is heavy;
+* both results are united: rows for ``orphan_references``, counts for ``orphan_report``, which takes the counts of decided groups
+  from the aggregate and joins no single reference to them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.functions.durable import Workspace
+
 FOREVER = "9999-12-31 00:00:00"
 NEVER = "0001-01-01 00:00:00"
 
@@ -76,15 +81,56 @@ def live_intervals(nodes: DataFrame) -> DataFrame:
     )
 
 
-def heavy_keys(refs: DataFrame, heavy_share: float) -> list[str]:
-    """Keys that hold at least ``heavy_share`` of all references; by that definition at most 1/heavy_share of them."""
-    per_key_period = refs.groupBy("ref", "period").agg(F.count("*").alias("n"))
-    per_key = per_key_period.groupBy("ref").agg(F.sum("n").alias("n"))
-    top = per_key.orderBy(F.desc("n"), "ref").limit(int(1 / heavy_share) + 1).collect()
-    if not top:
-        return []
-    total = refs.count()
-    return [r["ref"] for r in top if r["n"] >= heavy_share * total]
+def per_key_and_period(refs: DataFrame, *also: str) -> DataFrame:
+    """References per key and month (and ``also``): ref, period, ..., n, first, last."""
+    return refs.groupBy("ref", "period", *also).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+def decided(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ref, period, n, status of each group of ``per_key_and_period``: 'live', 'missing', 'late', 'deleted', or 'mixed' where its
+    references may differ."""
+    g = groups.groupBy("ref", "period").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    facts = nodes.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("known")).agg(
+        F.max(F.coalesce(F.col("loaded_at").cast("timestamp"), _ts(NEVER))).alias("last_loaded")
+    )
+    live = live_intervals(nodes).withColumnRenamed("ref", "v_ref")
+    met = g.join(live, F.col("ref") == F.col("v_ref"), "left").groupBy("ref", "period").agg(
+        F.first("n").alias("n"), F.first("first").alias("first"), F.first("last").alias("last"),
+        F.max(F.coalesce((F.col("since") <= F.col("first")) & (F.col("until") > F.col("last")), F.lit(False))).alias("covered"),
+        F.max(F.coalesce((F.col("since") <= F.col("last")) & (F.col("until") > F.col("first")), F.lit(False))).alias("touched"),
+    )
+    status = (
+        F.when(F.col("known").isNull(), "missing").when(F.col("covered"), "live").when(F.col("touched"), "mixed")
+        .when(F.col("last_loaded") > F.col("last"), "late").when(F.col("last_loaded") <= F.col("first"), "deleted").otherwise("mixed")
+    )
+    return met.join(facts, F.col("ref") == F.col("known"), "left").select("ref", "period", "n", status.alias("status"))
+
+
+def _same_group(refs: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    g = groups.select(F.col("ref").alias("g_ref"), F.col("period").alias("g_period"), *(c for c in groups.columns if c not in ("ref", "period", "n")))
+    out = refs.join(g, (F.col("ref") == F.col("g_ref")) & F.col("period").eqNullSafe(F.col("g_period")), how)
+    return out.drop("g_ref", "g_period")
+
+
+def _at_most(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def heavy_groups(groups: DataFrame, partitions: int) -> DataFrame:
+    """Groups that hold a quarter of a shuffle partition or more: at most four times as many as there are partitions."""
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return groups.where(F.col("n") >= max(1.0, total / (4 * partitions)))
+
+
+def with_status(refs: DataFrame, groups: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """References of the groups that are not always live, with the group's status."""
+    lost = groups.where("status <> 'live'")
+    if _at_most(lost, max_broadcast_rows):
+        return _same_group(refs, F.broadcast(lost))
+    heavy = heavy_groups(groups, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("ref", "period", "status")
+    hot = _same_group(refs, F.broadcast(heavy.where("status <> 'live'")))
+    others = _same_group(refs, F.broadcast(heavy.select("ref", "period")), "left_anti")
+    return hot.unionByName(_same_group(others, _same_group(lost, F.broadcast(heavy.select("ref", "period")), "left_anti")))
 
 
 def _without_live(refs: DataFrame, live: DataFrame, *also: str) -> DataFrame:
@@ -96,13 +142,22 @@ def _without_live(refs: DataFrame, live: DataFrame, *also: str) -> DataFrame:
     return r.join(v, on, "left_anti")
 
 
-def orphan_references(
-    edges: DataFrame,
-    nodes: DataFrame,
-    heavy_share: float = 1 / 256,
-    max_broadcast_rows: int = 100_000,
-    salts: int = 32,
-) -> DataFrame:
+def mixed_orphans(mixed: DataFrame, keys: DataFrame, nodes: DataFrame, max_broadcast_rows: int, salts: int) -> DataFrame:
+    """Orphans among the references of mixed groups, each with its own status. ``keys`` are the groups' keys (ref)."""
+    held = nodes.join(keys.select(F.col("ref").alias("id")).distinct(), "id", "left_semi")
+    live = live_intervals(held)
+    facts = held.groupBy(F.col("id").alias("known")).agg(F.max(F.coalesce(F.col("loaded_at").cast("timestamp"), _ts(NEVER))).alias("last_loaded"))
+    if _at_most(live, max_broadcast_rows):
+        orphans, facts = _without_live(mixed, F.broadcast(live)), F.broadcast(facts)
+    else:
+        salted = mixed.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(salts)).cast("int"))
+        copies = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        orphans = _without_live(salted, copies, "salt").drop("salt")
+    status = F.when(F.col("last_loaded") > F.col("at"), "late").otherwise("deleted")
+    return orphans.join(facts, F.col("ref") == F.col("known")).withColumn("status", status).drop("known", "last_loaded")
+
+
+def orphan_references(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
     """Orphaned references: edge_id, endpoint, ref, rel, repository, period, status.
 
     status is 'missing' (no row of the id at any time), 'late' (some row of it was loaded after the edge) or 'deleted'.
@@ -111,44 +166,36 @@ def orphan_references(
     beyond the named ones are ignored.
     """
     refs = references(edges)
-    live = live_intervals(nodes)
-    facts = nodes.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("known")).agg(
-        F.max(F.coalesce(F.col("loaded_at").cast("timestamp"), _ts(NEVER))).alias("last_loaded")
-    )
-    heavy = heavy_keys(refs, heavy_share)
-
-    light = _without_live(refs.where(~F.col("ref").isin(heavy)) if heavy else refs, live)
-    orphans = light.join(facts, F.col("ref") == F.col("known"), "left")
-    if heavy:
-        hot_refs = refs.where(F.col("ref").isin(heavy))
-        hot_live = live.where(F.col("ref").isin(heavy))
-        hot_facts = facts.where(F.col("known").isin(heavy))  # at most one row per heavy key
-        if hot_live.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-            hot = _without_live(hot_refs, F.broadcast(hot_live))
-        else:
-            salted = hot_refs.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(salts)).cast("int"))
-            copies = hot_live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            hot = _without_live(salted, copies, "salt").drop("salt")
-        orphans = orphans.unionByName(hot.join(F.broadcast(hot_facts), F.col("ref") == F.col("known"), "left"))
-    status = (
-        F.when(F.col("known").isNull(), "missing").when(F.col("last_loaded") > F.col("at"), "late").otherwise("deleted")
-    )
-    return orphans.select("edge_id", "endpoint", "ref", "rel", "repository", "period", status.alias("status")).distinct()
+    groups = Workspace(edges.sparkSession, "orphans").cut(decided(per_key_and_period(refs), nodes), "groups")
+    found = with_status(refs, groups, max_broadcast_rows)
+    mixed = groups.where("status = 'mixed'")
+    apart = mixed_orphans(found.where("status = 'mixed'").drop("status"), mixed, nodes, max_broadcast_rows, salts)
+    rows = found.where("status <> 'mixed'").unionByName(apart)
+    return rows.select("edge_id", "endpoint", "ref", "rel", "repository", "period", "status").distinct()
 
 
-def orphan_report(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
+def orphan_report(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
     """References and orphans per rel, repository and month: rel, repository, period, refs, missing, late, deleted.
 
     Repeated rows (equal edge_id) count once. Null rel, repository and period form groups of their own.
     """
     columns = ["edge_id", "src_id", "rel", "dst_id", "repository", "observed_at", "loaded_at"]
-    once = edges.select(*columns).dropDuplicates(["edge_id"])  # orphans are distinct by themselves
-    one = lambda s: F.sum(F.when(F.col("status") == s, F.col("n")).otherwise(0)).alias(s)
+    refs = references(edges.select(*columns).dropDuplicates(["edge_id"]))
+    space = Workspace(edges.sparkSession, "orphan-report")
+    counts = space.cut(per_key_and_period(refs, "rel", "repository"), "counts")
+    groups = space.cut(decided(counts, nodes), "groups")
+    mixed = groups.where("status = 'mixed'")
+    rows = refs.where("false")
+    if not _at_most(mixed, 0):
+        every = references(edges.select(*columns))
+        rows = with_status(every, mixed, max_broadcast_rows).drop("status").distinct()
     keys = ["rel", "repository", "period"]
-    totals = references(once).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("status", F.lit("refs"))
-    lost = orphan_references(edges, nodes, **options).groupBy(*keys, "status").agg(F.count("*").alias("n"))
+    apart = mixed_orphans(rows, mixed, nodes, max_broadcast_rows, salts).groupBy(*keys, "status").agg(F.count("*").alias("n"))
+    whole = with_status(counts, groups.where("status <> 'mixed'"), max_broadcast_rows).groupBy(*keys, "status").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("status", F.lit("refs"))
+    one = lambda s: F.sum(F.when(F.col("status") == s, F.col("n")).otherwise(0)).alias(s)
     return (
-        totals.unionByName(lost)
+        totals.unionByName(whole.unionByName(apart))
         .groupBy(*keys)
         .agg(one("refs"), one("missing"), one("late"), one("deleted"))
         .select("rel", "repository", F.col("period").cast("string").alias("period"), "refs", "missing", "late", "deleted")

@@ -44,14 +44,12 @@ def graph_list(questions: DataFrame, nodes: DataFrame, links: DataFrame, seeds:
 
 
 def vector_list(questions: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, item, rank): the ``k`` nodes whose hashed text is most similar; numbers stand for ids while vectors are compared."""
+    """(qid, item, rank): the ``k`` nodes whose hashed text is most similar."""
     text = F.concat_ws(" ", "name", "docstring")
-    numbered = nodes.where("coalesce(type, '') <> 'external'").select("id", F.xxhash64("id").alias("vec_id"), hashed_vector(text).alias("embedding"))
-    asked = questions.select("qid", F.xxhash64("qid").alias("vec_id"), hashed_vector(F.col("question")).alias("embedding"))
-    found = cosine_top_k(numbered, asked, k, DIM)
-    keyed = found.join(asked.select("qid", F.col("vec_id").alias("q")), F.col("query_id") == F.col("q"))
-    keyed = keyed.join(numbered.select(F.col("id").alias("item"), F.col("vec_id").alias("v")), F.col("id") == F.col("v"))
-    return keyed.select("qid", "item", F.col("pos").alias("rank"))
+    embedded = nodes.where("coalesce(type, '') <> 'external'").select("id", hashed_vector(text).alias("embedding"))
+    asked = questions.select(F.col("qid").alias("id"), hashed_vector(F.col("question")).alias("embedding"))
+    found = cosine_top_k(embedded, asked, k, DIM, key="id")
+    return found.select(F.col("query_id").alias("qid"), F.col("id").alias("item"), F.col("pos").alias("rank"))
 
 
 def retrieve(questions: DataFrame, nodes: DataFrame, links: DataFrame, k: int = 20, graph_weight: float = 1.5, skip_graph: bool = False) -> DataFrame:

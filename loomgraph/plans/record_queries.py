@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,7 +96,7 @@ def retrieval_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH " + _RECORDS + """, x AS (SELECT record_id, mode, case_id, unnest(retrieved_files) AS item, generate_subscripts(retrieved_files, 1) AS pos FROM r),
 k AS (SELECT record_id, mode, case_id, item, min(pos) AS rank FROM x WHERE item <> '' GROUP BY ALL),
-s AS (SELECT case_id, item, round(sum(CASE mode WHEN 'graph' THEN 1.5 ELSE 1.0 END / (60 + rank)), 6) AS score, count(*) AS lists FROM k GROUP BY 1, 2)
+s AS (SELECT case_id, item, CAST(sum(CAST(round(CASE mode WHEN 'graph' THEN 1.5 ELSE 1.0 END / (60 + rank) * 1e9) AS HUGEINT)) AS BIGINT) / 1e9 AS score, count(*) AS lists FROM k GROUP BY 1, 2)
 SELECT case_id, item, score, lists, pos FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, item) AS pos FROM s) WHERE pos <= 20""")
 def fused_files(spark: SparkSession, folder: str) -> DataFrame:
     records = _records(spark, folder, "mode", "case_id", "retrieved_files")
@@ -115,40 +115,94 @@ def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return exact_percentiles(_records(spark, folder, "mode", "retrieval_latency_ms"), "mode", "retrieval_latency_ms", [0.5, 0.95, 0.99])
 
 
-@query("WITH " + _RECORDS + f""", v AS (SELECT mode, {_finite('faithfulness')} AS f, {_finite('answer_correctness')} AS c, {_finite('estimated_api_cost_usd')} AS usd, prompt_tokens, completion_tokens FROM r)
-SELECT mode, count(*) AS records, round(avg(f), 6) AS faithfulness, round(avg(c), 6) AS correctness, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
-CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CASE WHEN count(usd) = count(*) THEN round(sum(usd), 6) END AS cost,
-round((sum(prompt_tokens) * 0.15 + sum(completion_tokens) * 0.6) / 1e6, 6) AS modelled_cost FROM v GROUP BY mode""")
-def mode_summary(spark: SparkSession, folder: str) -> DataFrame:
-    r = _records(spark, folder, "mode", "faithfulness", "answer_correctness", "estimated_api_cost_usd", "prompt_tokens", "completion_tokens")
-    usd = _measured("estimated_api_cost_usd")
-    return r.groupBy("mode").agg(
-        F.count("*").alias("records"), F.round(F.avg(_measured("faithfulness")), 6).alias("faithfulness"),
-        F.round(F.avg(_measured("answer_correctness")), 6).alias("correctness"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"),
-        F.when(F.count(usd) == F.count("*"), F.round(F.sum(usd), 6)).alias("cost"),
-        F.round((F.sum("prompt_tokens") * 0.15 + F.sum("completion_tokens") * 0.6) / 1e6, 6).alias("modelled_cost"),
-    )
+def _mean(c: str) -> Column:
+    """The mean of a column to 6 decimals, from whole millionths: the same in whatever order rows are added."""
+    total, n = F.sum(F.round(F.col(c) * 1e6).cast("decimal(28,0)")), F.nullif(F.count(c), F.lit(0))
+    return F.floor((total * 2 + n) / (n * 2)).cast("bigint") / 1e6
+
+
+def _mean_sql(c: str) -> str:
+    return f"CAST((2 * sum(CAST(round({c} * 1e6) AS HUGEINT)) + count({c})) // nullif(2 * count({c}), 0) AS DOUBLE) / 1e6"
+
+
+def _sum(c: str) -> Column:
+    return F.sum(F.round(F.col(c) * 1e9).cast("decimal(28,0)")).cast("bigint") / 1e9
+
 
+def _sum_sql(c: str) -> str:
+    return f"CAST(sum(CAST(round({c} * 1e9) AS HUGEINT)) AS BIGINT) / 1e9"
 
-def _measured(c: str):
+
+def _measured(c: str) -> Column:
     x = F.col(c)
     return F.when(~F.isnan(x) & (x >= 0) & (x < float("inf")), x)
 
 
-_CASES = "WITH " + _RECORDS + f""", m AS (SELECT case_id, mode, avg({_finite('answer_correctness')}) AS c FROM r WHERE mode IN ('hybrid', 'vector') GROUP BY 1, 2),
+def _score(c: str) -> Column:
+    """A score that is finite and between 0 and 1; null otherwise."""
+    x = F.col(c)
+    return F.when(~F.isnan(x) & (x >= 0) & (x <= 1), x)
+
+
+def _score_sql(c: str) -> str:
+    return f"CASE WHEN NOT isnan({c}) AND {c} >= 0 AND {c} <= 1 THEN {c} END"
+
+
+SCORES = ["source_hit", "faithfulness", "answer_relevancy", "answer_correctness"]
+AMOUNTS = ["retrieval_latency_ms", "generation_latency_ms"]
+TOKENS = ["prompt_tokens", "completion_tokens"]
+MEANS = [*SCORES, *AMOUNTS, *TOKENS]
+_MODE_MEANS = "WITH " + _RECORDS + ", v AS (SELECT mode, " + ", ".join(
+    [f"{_score_sql(c)} AS {c}" for c in SCORES] + [f"{_finite(c)} AS {c}" for c in [*AMOUNTS, "estimated_api_cost_usd"]] + TOKENS
+) + " FROM r), s AS (SELECT mode, count(*) AS records, " + ", ".join(f"{_mean_sql(c)} AS {c}" for c in MEANS) + f""",
+CASE WHEN count(estimated_api_cost_usd) = count(*) THEN {_sum_sql("estimated_api_cost_usd")} END AS cost,
+round((sum(prompt_tokens) * 0.15 + sum(completion_tokens) * 0.6) / 1e6, 6) AS modelled_cost FROM v GROUP BY mode)"""
+
+
+def _mode_means(spark: SparkSession, folder: str) -> DataFrame:
+    r = _records(spark, folder, "mode", *MEANS, "estimated_api_cost_usd")
+    v = r.select(
+        "mode", *(_score(c).alias(c) for c in SCORES), *(_measured(c).alias(c) for c in [*AMOUNTS, "estimated_api_cost_usd"]), *TOKENS
+    )
+    usd = F.col("estimated_api_cost_usd")
+    return v.groupBy("mode").agg(
+        F.count("*").alias("records"), *(_mean(c).alias(c) for c in MEANS),
+        F.when(F.count(usd) == F.count("*"), _sum("estimated_api_cost_usd")).alias("cost"),
+        F.round((F.sum("prompt_tokens") * 0.15 + F.sum("completion_tokens") * 0.6) / 1e6, 6).alias("modelled_cost"),
+    )
+
+
+@query(_MODE_MEANS + " SELECT *, round(cost / records, 9) AS cost_per_answer FROM s")
+def mode_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Per mode: records, means of scores, latencies and tokens, cost in all (null if one is missing) and by answer."""
+    return _mode_means(spark, folder).withColumn("cost_per_answer", F.round(F.col("cost") / F.col("records"), 9))
+
+
+@query(_MODE_MEANS + ", d AS (" + " UNION ALL ".join(f"SELECT mode, '{c}' AS measure, {c} AS value FROM s" for c in MEANS)
++ """) SELECT measure, max(value) FILTER (WHERE mode = 'hybrid') AS hybrid, max(value) FILTER (WHERE mode = 'vector') AS vector,
+round(max(value) FILTER (WHERE mode = 'hybrid') - max(value) FILTER (WHERE mode = 'vector'), 6) AS delta FROM d GROUP BY measure""")
+def mode_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """What hybrid gains over vector retrieval, by measure."""
+    long = _mode_means(spark, folder).unpivot(["mode"], MEANS, "measure", "value")
+    by = long.groupBy("measure").pivot("mode", ["hybrid", "vector"]).agg(F.max("value"))
+    return by.select("measure", "hybrid", "vector", F.round(F.col("hybrid") - F.col("vector"), 6).alias("delta"))
+
+
+_CASES = "WITH " + _RECORDS + f""", x AS (SELECT case_id, mode, {_score_sql('answer_correctness')} AS c FROM r WHERE mode IN ('hybrid', 'vector')),
+m AS (SELECT case_id, mode, {_mean_sql('c')} AS c FROM x GROUP BY 1, 2),
 p AS (SELECT case_id, max(c) FILTER (WHERE mode = 'hybrid') AS hybrid, max(c) FILTER (WHERE mode = 'vector') AS vector FROM m GROUP BY 1)"""
 
 
 def _case_means(spark: SparkSession, folder: str) -> DataFrame:
     r = _records(spark, folder, "case_id", "mode", "answer_correctness").where("mode IN ('hybrid', 'vector')")
-    return r.groupBy("case_id").pivot("mode", ["hybrid", "vector"]).agg(F.avg(_measured("answer_correctness")))
+    r = r.select("case_id", "mode", _score("answer_correctness").alias("c"))
+    return r.groupBy("case_id").pivot("mode", ["hybrid", "vector"]).agg(_mean("c"))
 
 
-@query(_CASES + " SELECT case_id, round(hybrid, 6) AS hybrid, round(vector, 6) AS vector, round(hybrid - vector, 6) AS delta FROM p")
+@query(_CASES + " SELECT case_id, hybrid, vector, round(hybrid - vector, 6) AS delta FROM p")
 def case_means(spark: SparkSession, folder: str) -> DataFrame:
     h, v = F.col("hybrid"), F.col("vector")
-    return _case_means(spark, folder).select("case_id", F.round(h, 6).alias("hybrid"), F.round(v, 6).alias("vector"), F.round(h - v, 6).alias("delta"))
+    return _case_means(spark, folder).select("case_id", "hybrid", "vector", F.round(h - v, 6).alias("delta"))
 
 
 @query()
@@ -262,15 +316,23 @@ def token_footprint(spark: SparkSession, folder: str) -> DataFrame:
     return files.groupBy("repository", "ext").agg(F.count("*").alias("files"), F.sum("n").alias("tokens"))
 
 
-@query("""WITH f AS (SELECT DISTINCT repository, file_path, sha256(content) AS digest FROM source_files WHERE content IS NOT NULL)
-SELECT repository, count(*) AS files, count(DISTINCT digest) AS contents, bit_xor(CAST('0x' || substr(digest, 1, 15) AS BIGINT)) AS digest FROM f GROUP BY 1""")
+@query("""WITH f AS (SELECT DISTINCT repository, file_path, sha256(content) AS digest FROM source_files WHERE content IS NOT NULL),
+g AS (SELECT *, sha256(coalesce(file_path, '') || chr(31) || digest) AS whole FROM f)
+SELECT repository, count(*) AS files, count(DISTINCT digest) AS contents,
+CAST(sum(CAST('0x' || substr(whole, 1, 15) AS HUGEINT)) % 2305843009213693951 AS BIGINT) AS digest,
+CAST(sum(CAST('0x' || substr(whole, 16, 15) AS HUGEINT)) % 2305843009213693921 AS BIGINT) AS digest_2 FROM g GROUP BY 1""")
 def content_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """A digest of each repository that its files' paths do not change: the exclusive or of 60 bits of each content's digest.
-    Unlike a digest of the sorted list it combines map-side, so a repository of any size is never gathered."""
+    """Two digests of each repository over its paths and contents: sums of 60 bits of each file's digest modulo two primes.
+    Unlike a digest of the sorted list they combine map-side, so a repository of any size is never gathered."""
     f = table(spark, folder, "source_files", "repository", "file_path", "content").where("content IS NOT NULL")
     f = f.select("repository", "file_path", F.sha2("content", 256).alias("digest")).distinct()
-    whole = F.bit_xor(F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint"))
-    return f.groupBy("repository").agg(F.count("*").alias("files"), F.count_distinct("digest").alias("contents"), whole.alias("digest"))
+    f = f.withColumn("whole", F.sha2(F.concat(F.coalesce("file_path", F.lit("")), F.lit("\u001f"), "digest"), 256))
+    part = lambda at: F.sum(F.conv(F.substring("whole", at, 15), 16, 10).cast("decimal(20,0)"))
+    modulo = lambda x, m: (x % F.lit(m).cast("decimal(20,0)")).cast("bigint")
+    return f.groupBy("repository").agg(
+        F.count("*").alias("files"), F.count_distinct("digest").alias("contents"),
+        modulo(part(1), 2305843009213693951).alias("digest"), modulo(part(16), 2305843009213693921).alias("digest_2"),
+    )
 
 
 @query("""SELECT sha256(mode || chr(31) || question) AS key, CAST(count(DISTINCT record_id) AS BIGINT) AS records FROM answer_records WHERE mode IS NOT NULL AND question IS NOT NULL GROUP BY 1""")
@@ -290,22 +352,26 @@ def longest_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
-    """The fused answers to every question that was asked."""
-    asked = table(spark, folder, "answer_records", "case_id", "question").where("question IS NOT NULL").groupBy(F.col("case_id").alias("qid")).agg(F.min("question").alias("question"))
+    """The fused answers to every question that was asked; ``qid`` is the question."""
+    asked = table(spark, folder, "answer_records", "question").where("question <> ''").distinct()
     n, e = graph(spark, folder)
-    return retrieve(asked, n, e)
+    return retrieve(asked.select(F.col("question").alias("qid"), "question"), n, e)
 
 
-@query("""WITH d AS (SELECT repository, file_path, sha256(content) AS digest, loaded_at FROM source_files WHERE content IS NOT NULL),
-o AS (SELECT DISTINCT repository, file_path, digest FROM d WHERE loaded_at < TIMESTAMP '2025-06-01'), w AS (SELECT DISTINCT repository, file_path, digest FROM d)
-SELECT coalesce(o.repository, w.repository) AS repository, coalesce(o.file_path, w.file_path) AS file_path,
-CASE WHEN o.digest IS NULL THEN 'added' WHEN w.digest IS NULL THEN 'deleted' ELSE 'modified' END AS change
-FROM o FULL JOIN w ON o.repository = w.repository AND o.file_path = w.file_path WHERE o.digest IS DISTINCT FROM w.digest""")
+@query("""WITH d AS (SELECT repository, file_path, file_id, sha256(content) AS digest, loaded_at FROM source_files),
+o AS (SELECT repository, file_path, max_by(coalesce(digest, ''), (loaded_at, file_id)) AS digest FROM d WHERE loaded_at < TIMESTAMP '2025-06-01' GROUP BY 1, 2),
+w AS (SELECT repository, file_path, max_by(coalesce(digest, ''), (loaded_at, file_id)) AS digest FROM d GROUP BY 1, 2),
+a AS (SELECT * FROM o WHERE digest <> ''), b AS (SELECT * FROM w WHERE digest <> '')
+SELECT coalesce(a.repository, b.repository) AS repository, coalesce(a.file_path, b.file_path) AS file_path,
+CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'deleted' ELSE 'modified' END AS change
+FROM a FULL JOIN b ON a.repository = b.repository AND a.file_path = b.file_path WHERE a.digest IS DISTINCT FROM b.digest""")
 def snapshot_differences(spark: SparkSession, folder: str) -> DataFrame:
-    """What the files loaded since June changed."""
-    files = table(spark, folder, "source_files", "repository", "file_path", "content", "loaded_at").where("content IS NOT NULL")
-    files = files.select("repository", "file_path", F.sha2("content", 256).alias("digest"), "loaded_at")
-    return snapshot_changes(files.where("loaded_at < TIMESTAMP '2025-06-01'"), files)
+    """What the files loaded since June changed: the last row of each path before June against the last of all; a last row
+    without content is a deleted file."""
+    files = table(spark, folder, "source_files", "file_id", "repository", "file_path", "content", "loaded_at")
+    files = files.select("repository", "file_path", F.coalesce(F.sha2("content", 256), F.lit("")).alias("digest"), "loaded_at", "file_id")
+    last = lambda df: df.groupBy("repository", "file_path").agg(F.max_by("digest", F.struct("loaded_at", "file_id")).alias("digest")).where("digest <> ''")
+    return snapshot_changes(last(files.where("loaded_at < TIMESTAMP '2025-06-01'")), last(files))
 
 
 @query("""SELECT id, unnest(list_filter([CASE WHEN trim(coalesce(question, '')) = '' THEN 'no question' END, CASE WHEN trim(coalesce(reference_answer, '')) = '' THEN 'no answer' END,
@@ -315,7 +381,15 @@ def gold_faults(spark: SparkSession, folder: str) -> DataFrame:
     return faulty_cases(table(spark, folder, "gold_cases"))
 
 
-@query()
+_PATH = r"regexp_replace(regexp_replace(lower(replace(file_path, '\', '/')), '^(?:\./|/)+(?:src/)?|^src/', ''), '/(?:\./|/)+', '/', 'g')"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT repository, {_PATH} AS path, start_line AS a, end_line AS b FROM chunks),
+f AS (SELECT repository, {_PATH} AS path, max_by(content, (loaded_at, file_id)) AS content FROM source_files WHERE content IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT *, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM f)
+SELECT c.repository, c.path || ':' || a || '-' || b AS anchor,
+CASE WHEN a >= 1 AND b >= a AND b <= len(lines) THEN array_to_string(lines[a:b], chr(10)) END AS excerpt
+FROM c LEFT JOIN l ON l.path = c.path AND l.repository IS NOT DISTINCT FROM c.repository""")
 def chunk_excerpts(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of every chunk read again from the last loaded row of its file: repository, anchor, excerpt."""
     anchor = F.format_string("%s:%d-%d", normal_path(F.col("file_path")), "start_line", "end_line")

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from loomgraph.operators.references import heavy_keys, live_intervals, orphan_references, orphan_report, references
+from loomgraph.operators.references import decided, heavy_groups, live_intervals, orphan_references, orphan_report, per_key_and_period, references
 
 EDGES = "edge_id long, src_id string, rel string, dst_id string, repository string, observed_at timestamp, loaded_at timestamp, status string"
 NODES = "id string, loaded_at timestamp, deleted_at timestamp, endpoint string"
@@ -42,16 +42,17 @@ def test_against_brute_force(spark):
     e, n = spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES)
     expected = brute(edges, nodes)
     assert found(orphan_references(e, n)) == expected
-    assert found(orphan_references(e, n, heavy_share=1 / 4)) == expected  # heavy keys broadcast
-    assert found(orphan_references(e, n, heavy_share=1 / 4, max_broadcast_rows=0)) == expected  # heavy keys salted
+    assert found(orphan_references(e, n, max_broadcast_rows=5)) == expected  # groups by shuffle, live intervals by broadcast
+    assert found(orphan_references(e, n, max_broadcast_rows=0)) == expected  # live intervals salted
     assert len(orphan_references(e, n).collect()) == len(expected)  # repeated edges count once
 
 
-def test_heavy_keys_are_bounded(spark):
-    edges, _ = cases()
-    refs = references(spark.createDataFrame(edges, EDGES))
-    assert set(heavy_keys(refs, 0.25)) == {"hot", "gone"}
-    assert len(heavy_keys(refs, 0.01)) <= 100
+def test_heavy_groups_are_bounded(spark):
+    edges, nodes = cases()
+    groups = decided(per_key_and_period(references(spark.createDataFrame(edges, EDGES))), spark.createDataFrame(nodes, NODES))
+    assert "hot" in {r.ref for r in heavy_groups(groups, 2).collect()}
+    assert heavy_groups(groups, 2).count() <= 8
+    assert {(r.ref, r.status) for r in groups.where("ref IN ('gone', 'a')").collect()} == {("gone", "missing"), ("a", "live")}
 
 
 def test_intervals_merge(spark):
@@ -70,6 +71,8 @@ def test_empty_tables(spark):
 
 def test_report_counts(spark):
     edges, nodes = cases()
-    rows = orphan_report(spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES)).collect()
+    for most in (1_000_000, 5, 0):
+        rows = orphan_report(spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES), max_broadcast_rows=most).collect()
+        assert sum(r.missing + r.late + r.deleted for r in rows) == len(brute(edges, nodes))
     assert sum(r.missing + r.late + r.deleted for r in rows) == len(brute(edges, nodes))
     assert sum(r.refs for r in rows) == len({(e[0], end) for e in edges for end in (1, 3) if e[end]})
