@@ -6,10 +6,11 @@ odd and the even positions alternate by level). Values that fill no buffer stay
 
 A collapse to level h moves no rank by more than 2^(h-1). At most n / (K 2^h) of them lead to level h, so the rank error is
 at most n h_max / (2 K) with h_max = log2(n / K). Each summary carries the exact sum of its own moves as ``err``; up to
-K values nothing moves and the percentiles are exact.
+2 K - 1 values nothing moves and the percentiles are exact.
 
-Spark builds one summary per group in each partition, and merges summaries in a tree of fixed fan-in, so no task ever sees
-more than ``FAN_IN`` summaries of a group. Summaries of days, partitions or tables combine in the same way.
+Spark builds one summary per group in each partition, and merges summaries in a tree: as many levels as the largest group's
+counted summaries need, so that no summary is merged with more than ``FAN_IN`` others at once. Each level is one shuffle, in
+which a task merges all its groups in one pass over sorted rows. Summaries of days, partitions or tables combine in the same way.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.durable import Workspace
+
 K = 4096
 FAN_IN = 32
-SUMMARY = "n bigint, err bigint, low double, high double, buffers array<array<double>>"
+#: ``sizes`` has the number of loose values and of those of each level, ``data`` all of them as doubles.
+SUMMARY = "n bigint, err bigint, low double, high double, sizes array<int>, data binary"
+COLUMNS = ["n", "err", "low", "high", "sizes", "data"]
 
 
 class Buffers:
@@ -62,31 +67,38 @@ class Buffers:
             self._carry(0, np.sort(values[i : i + self.k]))
         self.loose, self.n_loose = [values[whole:]], len(values) - whole
 
-    def merge(self, row) -> None:
-        self.n += int(row.n)
-        self.err += int(row.err)
-        self.low, self.high = min(self.low, row.low), max(self.high, row.high)
-        for level, buffer in enumerate(row.buffers):
+    def merge(self, n: int, err: int, low: float, high: float, levels: list[np.ndarray]) -> None:
+        self.n += int(n)
+        self.err += int(err)
+        self.low, self.high = min(self.low, low), max(self.high, high)
+        for level, buffer in enumerate(levels):
             if len(buffer):
-                buffer = np.asarray(buffer, dtype="float64")
                 if level:
                     self._carry(level - 1, buffer)
                 else:
                     self._add_loose(buffer)
 
-    def row(self) -> dict:
-        """buffers[0] are the loose values, buffers[h + 1] is level h (empty where there is none)."""
+    def levels(self) -> list[np.ndarray]:
+        """The loose values, then each level's buffer (empty where there is none)."""
         loose = np.sort(np.concatenate(self.loose)) if self.loose else np.array([])
-        top = max(self.full, default=-1)
-        return {
-            "n": self.n, "err": self.err, "low": self.low, "high": self.high,
-            "buffers": [loose.tolist(), *(self.full[h].tolist() if h in self.full else [] for h in range(top + 1))],
-        }
+        return [loose, *(self.full.get(h, np.array([])) for h in range(max(self.full, default=-1) + 1))]
+
+    def row(self) -> tuple:
+        levels = self.levels()
+        return self.n, self.err, float(self.low), float(self.high), [len(x) for x in levels], np.concatenate(levels).tobytes()
+
+
+def levels_of(sizes: list[int], data: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(data, dtype="float64"), np.cumsum(sizes)[:-1])
 
 
-def _schema(df: DataFrame, keys: list[str], extra: str = "") -> str:
+def _schema(df: DataFrame, keys: list[str]) -> str:
     types = dict(df.dtypes)
-    return ", ".join([*(f"`{c}` {types[c]}" for c in keys), SUMMARY + extra])
+    return ", ".join([*(f"`{c}` {types[c]}" for c in keys), SUMMARY])
+
+
+def _plain(x: object) -> object:
+    return None if x is None or x is pd.NaT or x != x else x
 
 
 def summarize(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
@@ -102,45 +114,59 @@ def summarize(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFra
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: dict[tuple, Buffers] = {}
         for batch in batches:
-            for key, part in batch.groupby(keys, dropna=False, sort=False)["_value"]:
-                key = tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                groups.setdefault(key, Buffers(k)).add(part.to_numpy())
+            code = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            names = batch[keys].iloc[order[starts]].itertuples(index=False, name=None)
+            for name, values in zip(names, np.split(batch["_value"].to_numpy()[order], starts[1:]), strict=True):
+                name = tuple(map(_plain, name))
+                if name not in groups:
+                    groups[name] = Buffers(k)
+                groups[name].add(values)
         if groups:
-            yield pd.DataFrame([dict(zip(keys, key, strict=True)) | g.row() for key, g in groups.items()])
+            yield pd.DataFrame([(*name, *g.row()) for name, g in groups.items()], columns=[*keys, *COLUMNS])
 
-    return merge(rows.mapInPandas(build, _schema(rows, keys)), keys, k=k)
+    return merge(rows.mapInPandas(build, _schema(rows, keys)), keys, k)
 
 
-def merge(summaries: DataFrame, keys: list[str], spread: list[str] | None = None, k: int = K) -> DataFrame:
+def merge(summaries: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Summaries of equal ``keys`` merged in a tree; takes the output of ``summarize`` or of ``merge`` on finer keys.
 
-    Rows are dealt to ``FAN_IN`` ^ i buckets by a hash (of ``spread`` if given), then to ever fewer, so that a task merges about
-    ``FAN_IN`` summaries of a group however many partitions or days made them.
+    The summaries are written and counted per group first. They are dealt to buckets by their place in that table, then to ever
+    fewer, so that about ``FAN_IN`` of a group meet at once, however many partitions or days made them and whatever they hold.
     """
-    conf = summaries.sparkSession.conf
-    width, widths = int(conf.get("spark.sql.shuffle.partitions", "200")) // FAN_IN, [1]
-    while width > 1:
+    out = Workspace(summaries.sparkSession, "summaries").cut(summaries.select(*keys, *COLUMNS), "parts")
+    most = out.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 1
+    widths = [1]
+    while most > FAN_IN * widths[0]:
         widths.insert(0, widths[0] * FAN_IN)
-        width //= FAN_IN
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = Buffers(k)
-        for row in pdf.itertuples(index=False):
-            total.merge(row)
-        return pd.DataFrame([{c: pdf[c].iloc[0] for c in keys} | {"_deal": pdf["_deal"].iloc[0]} | total.row()])
-
-    columns = [*keys, "n", "err", "low", "high", "buffers"]
-    deal = F.xxhash64(*(spread or ["n", "low", "high"]))
-    out = summaries.select(*columns, deal.alias("_deal"))
-    schema = _schema(out, keys, ", _deal bigint")
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, total, place = None, None, 0
+        for batch in batches:
+            done = []
+            for row in batch.itertuples(index=False, name=None):
+                of = (*map(_plain, row[: len(keys)]), row[-2])
+                if of != name:
+                    if total is not None:
+                        done.append((*name[:-1], *total.row(), place))
+                    name, total, place = of, Buffers(k), row[-1]
+                n, err, low, high, sizes, data = row[len(keys) : -2]
+                total.merge(n, err, low, high, levels_of(sizes, data))
+            yield pd.DataFrame(done, columns=[*keys, *COLUMNS, "_place"])
+        if total is not None:
+            yield pd.DataFrame([(*name[:-1], *total.row(), place)], columns=[*keys, *COLUMNS, "_place"])
+
+    schema = _schema(out, keys) + ", _place bigint"
+    out = out.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
     for width in widths:
-        bucket = F.pmod("_deal", F.lit(width)).alias("_bucket")
-        out = out.groupBy(*keys, bucket).applyInPandas(combine, schema)
-    return out.select(*columns)
+        dealt = out.select(*keys, *COLUMNS, F.pmod("_place", F.lit(width)).alias("_bucket"), "_place")
+        out = dealt.repartition(*keys, "_bucket").sortWithinPartitions(*keys, "_bucket", "_place").mapInPandas(combine, schema)
+    return out.select(*keys, *COLUMNS)
 
 
-def _evaluate(levels: list, n: int, low: float, high: float, ps: list[float]) -> list[float]:
-    values = np.concatenate([np.asarray(b, dtype="float64") for b in levels])
+def _evaluate(levels: list[np.ndarray], n: int, low: float, high: float, ps: list[float]) -> list[float]:
+    values = np.concatenate(levels)
     weights = np.concatenate([np.full(len(b), 1 << max(0, i - 1), dtype="int64") for i, b in enumerate(levels)])
     order = np.argsort(values, kind="stable")
     values, ends = values[order], np.cumsum(weights[order])
@@ -159,7 +185,7 @@ def percentiles(summaries: DataFrame, keys: list[str], ps: list[float]) -> DataF
             rows = [
                 [*(getattr(r, c) for c in keys), p, r.n, v, r.err]
                 for r in batch.itertuples(index=False)
-                for p, v in zip(ps, _evaluate(r.buffers, r.n, r.low, r.high, ps), strict=True)
+                for p, v in zip(ps, _evaluate(levels_of(r.sizes, r.data), r.n, r.low, r.high, ps), strict=True)
             ]
             yield pd.DataFrame(rows, columns=[*keys, "p", "n", "value", "rank_error"])
 

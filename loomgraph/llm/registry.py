@@ -43,22 +43,26 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return p2.documented_functions(table(spark, folder, "source_files", *FILE_COLUMNS))
 
 
-def latency_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily summaries of both latencies: metric, mode, day and the buffers. Repeated rows count once."""
+def _latencies(spark: SparkSession, folder: str) -> DataFrame:
+    """metric, mode, day, ms of both latencies. Repeated rows count once."""
     records = table(
         spark, folder, "answer_records", "record_id", "mode", "recorded_at", "retrieval_latency_ms", "generation_latency_ms"
     ).dropDuplicates(["record_id"])
-    long = records.select(
+    return records.select(
         "mode",
         F.to_date("recorded_at").cast("string").alias("day"),
         F.expr("stack(2, 'retrieval', retrieval_latency_ms, 'generation', generation_latency_ms) AS (metric, ms)"),
     )
-    return p5.summarize(long, ["metric", "mode", "day"], "ms")
+
+
+def latency_summaries(spark: SparkSession, folder: str, k: int = p5.K) -> DataFrame:
+    """Daily summaries: metric, mode, day and the buffers."""
+    return p5.summarize(_latencies(spark, folder), ["metric", "mode", "day"], "ms", k)
 
 
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Per metric and mode, from the daily summaries combined."""
-    whole = p5.merge(latency_summaries(spark, folder), ["metric", "mode"], spread=["day"])
+    whole = p5.merge(latency_summaries(spark, folder), ["metric", "mode"])
     return p5.percentiles(whole, ["metric", "mode"], PERCENTILES)
 
 
@@ -66,6 +70,21 @@ def p5_daily_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return p5.percentiles(latency_summaries(spark, folder), ["metric", "mode", "day"], PERCENTILES)
 
 
+def p5_bounded(spark: SparkSession, folder: str, k: int = 32) -> DataFrame:
+    """Percentiles from daily summaries with small buffers, held against the ranks that their values take in the whole column:
+    metric, mode, p, n, collapsed (buffers were collapsed), within (the rank is off by at most rank_error)."""
+    got = p5.percentiles(p5.merge(latency_summaries(spark, folder, k), ["metric", "mode"], k), ["metric", "mode"], PERCENTILES)
+    m = F.col("ms")
+    data = _latencies(spark, folder).where(m.isNotNull() & ~F.isnan(m) & (m >= 0) & (m < float("inf"))).select(F.col("metric").alias("d_metric"), F.col("mode").alias("d_mode"), "ms")
+    on = (F.col("metric") == F.col("d_metric")) & F.col("mode").eqNullSafe(F.col("d_mode"))
+    ranks = data.join(F.broadcast(got), on).groupBy("metric", "mode", "p", "n", "rank_error").agg(
+        F.count_if(F.col("ms") < F.col("value")).alias("below"), F.count_if(F.col("ms") <= F.col("value")).alias("upto")
+    )
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") - 1e-9))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - wanted, wanted - F.col("upto"))
+    return ranks.select("metric", "mode", "p", "n", (F.col("rank_error") > 0).alias("collapsed"), (off <= F.col("rank_error")).alias("within"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "answer_records", "record_id", "question", "answer")
     return p6.answer_defects(records).select("record_id", "defect")
@@ -111,6 +130,7 @@ QUERIES = {
     "p3_pairs": p3_pairs,
     "p5_percentiles": p5_percentiles,
     "p5_daily_percentiles": p5_daily_percentiles,
+    "p5_bounded": p5_bounded,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p7_ids": p7_ids,
@@ -123,7 +143,7 @@ QUERIES = {
 
 
 def _percentile_sql(keys: str) -> str:
-    # the value of rank ceil(p n); exact for groups of up to K values, as all of the driver's test tables have
+    # the value of rank ceil(p n); exact for groups of fewer than 2 K values
     return f"""
     WITH r AS (SELECT DISTINCT record_id, mode, recorded_at, retrieval_latency_ms, generation_latency_ms FROM answer_records),
     v AS (SELECT 'retrieval' AS metric, mode, CAST(CAST(recorded_at AS DATE) AS VARCHAR) AS day, retrieval_latency_ms AS ms FROM r
@@ -137,6 +157,8 @@ def _percentile_sql(keys: str) -> str:
 SQL = {
     "p5_percentiles": _percentile_sql("metric, mode"),
     "p5_daily_percentiles": _percentile_sql("metric, mode, day"),
+    # buffers of k values collapse as soon as two are full
+    "p5_bounded": _percentile_sql("metric, mode").replace("ms AS value, CAST(0 AS BIGINT) AS rank_error", "n >= 64 AS collapsed, true AS within"),
     "p8_found": """
     WITH p AS (SELECT id AS case_id, unnest([question, reference_answer] || coalesce(reference_contexts, [])) AS text FROM gold_cases),
     g AS (SELECT case_id, regexp_extract_all(lower(upper(text)), '[\\p{L}\\p{N}]+') AS w FROM p WHERE text IS NOT NULL),
