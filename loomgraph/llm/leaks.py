@@ -1,113 +1,192 @@
 """Evaluation passages leaking into training text, by template canonicalisation (problem 8).
 
 Words are runs of letters and digits of any script, case ignored. A template word is the word itself, or a typed placeholder
-if it is a number, a unit or a name (an identifier, or built of the parts of the evaluation set's identifiers). The type
-depends on the word alone, so equal windows always have equal templates. All windows of ``n`` template words of both sides
-are hashed and joined by hash; then the words in the slots are compared: equal slots are a leak as it stands, a one-to-one
-renaming of slots is a re-parameterised question.
-
-The evaluation side is broadcast only if its windows are at most ``max_broadcast_rows``, else the join shuffles. The corpus
-is read once; only window hashes leave a document, and only for windows that match.
+if it is a number, a unit or a name (a part of the identifiers or of the capitalised words within sentences of the evaluation
+set, or built of such parts). The type depends on the word alone, so equal windows always have equal templates. A placeholder
+also says how far back the same word stood in the window: equal templates therefore mean that the words in the slots of one
+window can be put for those of the other one to one. Windows of ``n`` template words of both sides are hashed and joined by
+hash; equal slots are a leak as it stands, other slots a re-parameterised question.
+
+The evaluation side is grouped by template. Its hashes are broadcast only if they are at most ``max_broadcast_rows``; a document
+is then read once and only hashes of windows that match leave it. Otherwise all hashes leave it and the join shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.spreading import spread
 
 #: Words that name units.
-UNITS = [
-    "ms", "us", "ns", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hour", "hours", "day", "days",
-    "b", "kb", "mb", "gb", "tb", "kib", "mib", "gib", "byte", "bytes", "px", "hz", "khz", "mhz", "ghz", "percent", "usd", "eur",
-]
-#: Parts of identifiers that type a word as a name; the most frequent ones are kept, so that the lexicon has a bound.
-MAX_PARTS = 5_000
+UNITS = frozenset(
+    "ms us ns s sec secs second seconds min mins minute minutes h hour hours day days b kb mb gb tb kib mib gib byte bytes px hz khz "
+    "mhz ghz percent usd eur".split()
+)
+#: Words of a window that must be no placeholders for a re-parameterised question: fewer say nothing about the question.
+LEAST_WORDS = 7
+#: Words whose type a task remembers at most.
+REMEMBERED = 500_000
 
-Typing = Callable[[Column], Column]
+_word = re.compile(r"[^\W_]+")
 
 
-def words(text: Column) -> Column:
-    """Runs of letters and digits. Upper and lower case in turn fold sharp s and final sigma too."""
-    return F.regexp_extract_all(F.lower(F.upper(text)), F.lit(r"[\p{L}\p{N}]+"), 0)
+def words(text: str) -> list[str]:
+    """Runs of letters and digits. Upper and lower case in turn fold sharp s too."""
+    return _word.findall(text.upper().lower())
 
 
 def passages(cases: DataFrame) -> DataFrame:
-    """case_id, passage (its number), text: question, reference answer and each reference context. Null ones are none."""
+    """case_id, text: question, reference answer and each reference context. Null ones are none."""
     texts = F.concat(F.array("question", "reference_answer"), F.coalesce("reference_contexts", F.array().cast("array<string>")))
-    return cases.select(F.col("id").alias("case_id"), F.posexplode(texts).alias("passage", "text")).where(F.col("text").isNotNull())
+    return cases.select(F.col("id").alias("case_id"), F.explode(texts).alias("text")).where(F.col("text").isNotNull())
+
 
+def name_parts(texts: DataFrame, text: str = "text") -> frozenset[str]:
+    """Parts (at capitals, underscores and dots) of the identifiers in ``texts``, and words capitalised within a sentence.
 
-def name_parts(texts: DataFrame, text: str = "text", max_parts: int = MAX_PARTS) -> list[str]:
-    """Parts (at capitals, underscores and dots) of the identifiers in ``texts``: at most ``max_parts``, the most frequent."""
-    identifier = r"\b(\w*\p{Ll}\p{Lu}\w*|\p{L}+(?:[_.]\p{L}+)+)\b"
+    They grow with the vocabulary of the evaluation set, never with the corpus.
+    """
+    identifier = r"\b(\w*\p{Ll}\p{Lu}\w*|\p{L}+(?:[_.]\p{L}+)+)\b|(?<=[\p{Ll},] )(\p{Lu}\p{Ll}+)\b"
     part = r"(\p{Lu}?\p{Ll}+|\p{Lu}+(?!\p{Ll}))"
     parts = (
-        texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(identifier), 1)).alias("name"))
+        texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(identifier), 0)).alias("name"))
         .select(F.explode(F.regexp_extract_all("name", F.lit(part), 1)).alias("part"))
-        .select(F.lower(F.upper("part")).alias("part"))
-        .where(F.length("part") > 1)
-    )
-    top = parts.groupBy("part").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "part").limit(max_parts)
-    return sorted(r["part"] for r in top.collect())
-
-
-def typing(parts: list[str]) -> Typing:
-    """Maps a word to null, or to its placeholder: 'N' number, 'U' unit, 'I' name."""
-
-    def kind(w: Column) -> Column:
-        out = F.when(w.rlike(r"\p{N}"), F.lit("N")).when(w.isin(UNITS), F.lit("U"))
-        if parts:
-            longest = sorted(parts, key=lambda p: (-len(p), p))
-            joined = "^(?:" + "|".join(longest) + "){2,}$"
-            out = out.when(w.isin(parts), F.lit("I")).when((F.length(w) >= 8) & w.rlike(joined), F.lit("I"))
-        return out
-
-    return kind
-
-
-def windows(texts: DataFrame, text: str, kind: Typing, n: int, with_slots: bool = False) -> DataFrame:
-    """One row per window: the other columns of ``texts``, at, template (hash), slots_hash[, slots].
-
-    Words, kinds and templates are columns of their own: each is computed once per text. Texts of fewer than ``n`` words and
-    null texts have no window.
-    """
-    rest = [c for c in texts.columns if c != text]
-    df = texts.withColumn("_w", words(F.col(text))).where(F.size("_w") >= n)
-    df = df.select(*rest, F.transform("_w", lambda w: F.struct(w.alias("w"), kind(w).alias("k"))).alias("_t"))
-    df = df.select(
-        *rest,
-        F.transform("_t", lambda t: F.coalesce(F.concat(F.lit("\u0001"), t["k"]), t["w"])).alias("_template"),
-        F.transform("_t", lambda t: F.when(t["k"].isNotNull(), t["w"])).alias("_slot"),
-    )
-    cut = lambda c, i: F.slice(c, i, n)
-
-    def window(i: Column) -> Column:
-        fields = [
-            i.alias("at"),
-            F.xxhash64(cut("_template", i)).alias("template"),
-            F.xxhash64(cut("_slot", i)).alias("slots_hash"),
-        ]
-        if with_slots:
-            fields.append(F.filter(cut("_slot", i), lambda s: s.isNotNull()).alias("slots"))
-        return F.struct(*fields)
-
-    found = F.transform(F.sequence(F.lit(1), F.size("_template") - (n - 1)), window)
-    return df.select(*rest, F.inline(found))
-
-
-def _matched(documents: DataFrame, cases: DataFrame, key: str, text: str, n: int, slots: bool, max_broadcast_rows: int) -> DataFrame:
-    held = passages(cases.select("id", "question", "reference_answer", "reference_contexts"))
-    kind = typing(name_parts(held))
-    gold = windows(held, "text", kind, n, slots)
-    gold = gold.select(*(F.col(c).alias(f"g_{c}") for c in gold.columns))
-    if gold.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        gold = F.broadcast(gold)
-    corpus = windows(spread(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))), "text", kind, n, slots)
-    return corpus.join(gold, F.col("template") == F.col("g_template"))
+        .where(F.length("part") > 1).distinct()
+    )
+    return frozenset(w for r in parts.collect() for w in words(r["part"]))
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Templates:
+    """Hashes of the windows of texts. Words and their types are remembered."""
+
+    def __init__(self, parts: frozenset[str], n: int):
+        self.parts, self.n = parts, n
+        self.longest = max(map(len, parts), default=0)
+        self.powers = np.random.default_rng(8).integers(0, 1 << 63, n, dtype="uint64") * np.uint64(2) + np.uint64(1)
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def kind(self, word: str) -> str:
+        """'' or the word's placeholder: N number, U unit, I name."""
+        if any(c.isnumeric() for c in word):
+            return "N"
+        if word in UNITS:
+            return "U"
+        return "I" if word in self.parts or len(word) >= 8 and self._built(word) else ""
+
+    def _built(self, word: str) -> bool:
+        """Whether ``word`` is nothing but parts; every start is looked at once."""
+        reached = {0}
+        for end in range(2, len(word) + 1):
+            if any(a in reached and word[a:end] in self.parts for a in range(max(0, end - self.longest), end - 1)):
+                reached.add(end)
+        return len(word) in reached
+
+    def _word(self, word: str) -> tuple[int, int]:
+        """What stands for the word in templates, and for the word itself if it is a placeholder, else 0."""
+        if word not in self.known:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            kind = self.kind(word)
+            self.known[word] = (_hash(f"\x01{kind}"), _hash(word) | 1) if kind else (_hash(word), 0)
+        return self.known[word]
+
+    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window: hashes of its template and of its slots, and how many of its words are no placeholders."""
+        pairs = [self._word(w) for w in words(text)]
+        count = len(pairs) - self.n + 1
+        if count < 1:
+            return (np.zeros(0, dtype="int64"),) * 2 + (np.zeros(0, dtype="int64"),)
+        both = np.array(pairs, dtype="uint64")
+        shown, slot = both[:, 0], both[:, 1]
+        last: dict[int, int] = {}
+        back = np.zeros(len(pairs), dtype="uint64")  # how far back the same slot stood, 0 if it did not
+        for i in np.flatnonzero(slot).tolist():
+            w = pairs[i][1]
+            if w in last:
+                back[i] = i - last[w]
+            last[w] = i
+        template, slots = np.zeros(count, dtype="uint64"), np.zeros(count, dtype="uint64")
+        plain = np.zeros(count, dtype="int64")
+        for j, p in enumerate(self.powers):
+            here = slice(j, j + count)
+            seen = np.where(back[here] <= j, back[here], 0)  # within the window
+            template += (shown[here] ^ seen * np.uint64(0x9E3779B97F4A7C15)) * p
+            slots += slot[here] * p
+            plain += slot[here] == 0
+        return template.view("int64"), slots.view("int64"), plain
+
+
+@lru_cache(maxsize=2)
+def _templates(parts: frozenset[str], n: int) -> Templates:
+    """One for all tasks of a worker."""
+    return Templates(parts, n)
+
+
+def gold_windows(held: DataFrame, parts: frozenset[str], n: int) -> DataFrame:
+    """Distinct windows of the evaluation side: template, slots, case_id, plain."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = _templates(parts, n)
+        for batch in batches:
+            for case, text in zip(batch["case_id"], batch["text"], strict=True):
+                template, slots, plain = t.windows(text)
+                yield pd.DataFrame({"template": template, "slots": slots, "case_id": case, "plain": plain})
+
+    return held.mapInPandas(run, "template bigint, slots bigint, case_id string, plain bigint").distinct()
+
+
+def _matches(documents: DataFrame, key: str, text: str, parts: frozenset[str], n: int, gold: DataFrame, by: list[str], most: int) -> DataFrame:
+    """doc_id, template, slots, windows of the corpus windows whose ``by`` (template, or template and slots) ``gold`` has."""
+    spark = documents.sparkSession
+    wanted = gold.select(*by).distinct()
+    few = wanted.limit(most + 1).count() <= most
+    shared = None
+    if few:
+        rows = wanted.toPandas()  # at most ``most`` pairs of numbers
+        shared = spark.sparkContext.broadcast(np.sort(_joined([rows[c].to_numpy(dtype="int64") for c in by])))
+    kind = dict(documents.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = _templates(parts, n)
+        for batch in batches:
+            out = []
+            for doc, body in zip(batch["k"], batch["t"], strict=True):
+                template, slots, _ = t.windows(body)
+                if shared is not None and len(template):
+                    mine, held = _joined([template, slots][: len(by)]), shared.value
+                    hit = held[np.minimum(np.searchsorted(held, mine), len(held) - 1)] == mine if len(held) else np.zeros(len(mine), dtype=bool)
+                    template, slots = template[hit], slots[hit]
+                if len(template):
+                    pairs, counts = np.unique(np.stack([template, slots]), axis=1, return_counts=True)
+                    out.append(pd.DataFrame({"doc_id": doc, "template": pairs[0], "slots": pairs[1], "windows": counts}))
+            if out:
+                yield pd.concat(out)
+
+    texts = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
+    return texts.mapInPandas(run, f"doc_id {kind}, template bigint, slots bigint, windows bigint")
+
+
+def _joined(columns: list[np.ndarray]) -> np.ndarray:
+    """One number of one or two; the join that follows compares the columns themselves."""
+    return columns[0] if len(columns) == 1 else columns[0] ^ (columns[1] * np.int64(-0x61C8864680B583EB))
+
+
+def _held(cases: DataFrame, n: int) -> tuple[DataFrame, frozenset[str]]:
+    held = passages(cases.select("id", "question", "reference_answer", "reference_contexts")).distinct()
+    parts = name_parts(held)
+    return gold_windows(held, parts, n), parts
 
 
 def leaks(
@@ -118,22 +197,35 @@ def leaks(
     Passages or texts that are null, or shorter than ``n`` words, leak nothing; empty tables give an empty result; repeated
     rows and passages count once; other columns are ignored.
     """
-    found = _matched(documents, cases, key, text, n, False, max_broadcast_rows)
-    return found.where(F.col("slots_hash") == F.col("g_slots_hash")).select("doc_id", F.col("g_case_id").alias("case_id")).distinct()
+    gold, parts = _held(cases, n)
+    found = _matches(documents, key, text, parts, n, gold, ["template", "slots"], max_broadcast_rows)
+    pairs = gold.select("template", "slots", "case_id").distinct()
+    return found.join(pairs, ["template", "slots"]).select("doc_id", "case_id").distinct()
+
+
+def template_classes(gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template, class_id) and (class_id, case_id): templates that the same cases have are one class."""
+    sets = gold.where(F.col("plain") >= LEAST_WORDS).groupBy("template").agg(F.array_sort(F.collect_set("case_id")).alias("cases"))
+    sets = sets.withColumn("class_id", F.xxhash64("cases"))
+    return sets.select("template", "class_id"), sets.select("class_id", F.explode("cases").alias("case_id")).distinct()
 
 
 def reparameterised(
     documents: DataFrame, cases: DataFrame, key: str = "doc_id", text: str = "text", n: int = 12, max_broadcast_rows: int = 1_000_000
 ) -> DataFrame:
-    """Passages that stand in a text with other numbers, units or names: doc_id, case_id, windows.
+    """Passages that stand in a text with other numbers, units or names: doc_id, class_id, windows.
 
-    A window counts if its template equals one of the passage, some slot differs, and slots were replaced one to one.
+    A window counts if its template is one of the evaluation side with ``LEAST_WORDS`` words of its own, while its slots are those
+    of no case of that template. A class stands for all cases that share its templates (see ``classes``), so a template of many
+    cases gives one row per document.
     """
-    found = _matched(documents, cases, key, text, n, True, max_broadcast_rows)
-    pairs = F.array_distinct(F.arrays_zip("slots", "g_slots"))
-    one_to_one = (F.size(pairs) == F.size(F.array_distinct("slots"))) & (F.size(pairs) == F.size(F.array_distinct("g_slots")))
-    return (
-        found.where((F.col("slots_hash") != F.col("g_slots_hash")) & one_to_one)
-        .groupBy("doc_id", F.col("g_case_id").alias("case_id"))
-        .agg(F.count("*").alias("windows"))
-    )
+    gold, parts = _held(cases, n)
+    of_template = template_classes(gold)[0]
+    found = _matches(documents, key, text, parts, n, gold.join(of_template, "template", "left_semi"), ["template"], max_broadcast_rows)
+    other = found.join(gold.select("template", "slots").distinct(), ["template", "slots"], "left_anti")
+    return other.join(of_template, "template").groupBy("doc_id", "class_id").agg(F.sum("windows").alias("windows"))
+
+
+def classes(cases: DataFrame, n: int = 12) -> DataFrame:
+    """The members of the classes of ``reparameterised``: class_id, case_id."""
+    return template_classes(_held(cases, n)[0])[1]

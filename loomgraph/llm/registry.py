@@ -113,6 +113,11 @@ def p8_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
     return p8.reparameterised(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "gold_cases"))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases that share the templates of each class of p8_reparameterised."""
+    return p8.classes(table(spark, folder, "gold_cases"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9.garbled(table(spark, folder, "documents", "doc_id", "text")).select("doc_id")
 
@@ -137,6 +142,7 @@ QUERIES = {
     "p7_token_counts": p7_token_counts,
     "p8_found": p8_found,
     "p8_reparameterised": p8_reparameterised,
+    "p8_classes": p8_classes,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
