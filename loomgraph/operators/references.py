@@ -157,7 +157,7 @@ def mixed_orphans(mixed: DataFrame, keys: DataFrame, nodes: DataFrame, max_broad
     return orphans.join(facts, F.col("ref") == F.col("known")).withColumn("status", status).drop("known", "last_loaded")
 
 
-def orphan_references(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
+def orphan_references(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """Orphaned references: edge_id, endpoint, ref, rel, repository, period, status.
 
     status is 'missing' (no row of the id at any time), 'late' (some row of it was loaded after the edge) or 'deleted'.
@@ -174,7 +174,7 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: in
     return rows.select("edge_id", "endpoint", "ref", "rel", "repository", "period", "status").distinct()
 
 
-def orphan_report(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
+def orphan_report(edges: DataFrame, nodes: DataFrame, max_broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """References and orphans per rel, repository and month: rel, repository, period, refs, missing, late, deleted.
 
     Repeated rows (equal edge_id) count once. Null rel, repository and period form groups of their own.
