@@ -86,12 +86,13 @@ def p5_bounded(spark: SparkSession, folder: str, k: int = 32) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "answer_records", "record_id", "question", "answer")
+    records = table(spark, folder, "answer_records", "record_id", "question", "answer", "completion_tokens")
     return p6.answer_defects(records).select("record_id", "defect")
 
 
 def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return p6.defect_rates(table(spark, folder, "answer_records", "record_id", "mode", "question", "answer"))
+    records = table(spark, folder, "answer_records", "record_id", "mode", "question", "answer", "completion_tokens")
+    return p6.defect_rates(records)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

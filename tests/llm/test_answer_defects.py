@@ -1,6 +1,6 @@
 import pytest
 
-from loomgraph.llm.answer_defects import answer_defects, defect_rates
+from loomgraph.llm.answer_defects import answer_defects, defect_rates, is_truncated
 
 EN = "Why must CachedParser call fetch_query ahead of reserve_watcher whenever the edge is stale?"
 ES = "¿Por qué CachedParser debe llamar a fetch_query antes que a reserve_watcher cuando el edge sigue siendo stale?"
@@ -52,3 +52,25 @@ POLISH = "Klasa przechowuje jeden obiekt dla każdego wywołania oraz zwalnia po
 def test_languages_without_word_list(spark, q, a, defect):
     df = spark.createDataFrame([(1, q, a)], "record_id long, question string, answer string")
     assert [r.defect for r in answer_defects(df).collect()] == ([defect] if defect else [])
+
+
+GERMAN = "Wie hält die Klasse ihren Zustand, wenn zwei Aufrufe zugleich kommen?"
+
+
+@pytest.mark.parametrize("q, a, defect", [
+    (EN, "De klasse bewaart één object per aanroep en geeft de andere pas na afloop vrij.", "language"), (EN, "La classe conserva un solo oggetto per ogni chiamata e libera gli altri alla fine.", "language"),
+    (GERMAN, "De klasse bewaart één object per aanroep en geeft de andere pas na afloop van de hele bewerking vrij.", "language"), (EN, POLISH, "language"),
+    (GERMAN, "Sie hält ihn in einem Feld, das nur der Prüfer liest.", None), (EN, "这个类为每个处理程序保留一个锚点。", "language"), ("Почему парсер сначала читает кеш?", "The class keeps one anchor.", "language"),
+    (EN, "Mi dispiace, non posso rispondere a questa domanda.", "refusal"), (EN, "抱歉，我无法回答这个问题。", "refusal"), (EN, "Przepraszam, nie mogę odpowiedzieć na to pytanie.", "refusal"), (EN, "I'd rather not discuss that.", "refusal"),
+    (EN, "It calls f (which pops the entry.", "truncated"), (EN, 'It sends an open {"a": [1, 2,', "truncated"), (EN, 'It answers "not before the edge.', "truncated"), (EN, "It keeps 3\" of slack (for now).", None),
+    (EN, "He said: “it stays «as is» (see [1]).”", None), (GERMAN, "Sie nennt es „Zustand“ und »Feld« (beides).", None), (EN, "Use the interval [0, 10) here.", None), (EN, "It works :( but slowly.", None),
+    (EN, f"{EN} {EN} {EN}", "copy"), (EN, "```json\n{\"a\": [1, 2]}\n```", None), (EN, "It opens `f(` and closes it later.", None),
+])
+def test_further_pairs(spark, q, a, defect):
+    df = spark.createDataFrame([(1, q, a, None)], "record_id long, question string, answer string, completion_tokens int")
+    assert [r.defect for r in answer_defects(df).collect()] == ([defect] if defect else [])
+
+
+def test_tokens_at_a_limit_doubt_a_bare_ending():
+    long = "It keeps one anchor per handler and drops the rest after each run. " * 16 + "\nhandler"
+    assert not is_truncated(long, None) and not is_truncated(long, 300.0) and is_truncated(long, 256.0) and not is_truncated("handler", 256.0)
