@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.hierarchy import descendants, parent_links, resolve_hierarchy
+from loomgraph.operators.hierarchy import descendants, parent_links, preorder, resolve_hierarchy
 from loomgraph.operators.references import orphan_references, orphan_report
 from loomgraph.sources.tables import table
 
@@ -33,12 +33,18 @@ def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return descendants(known)
 
 
+def p4_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Descendants as ranges of places in a walk of each tree."""
+    return preorder(parent_links(table(spark, folder, "edges", "src_id", "rel", "dst_id")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p4_found": p4_found,
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
+    "p4_ranges": p4_ranges,
 }
 
 _ORPHANS = """
@@ -87,4 +93,16 @@ SQL = {
       SELECT child AS node_id, parent AS ancestor_id, 1 AS distance FROM links WHERE child IN (SELECT node_id FROM walk)
       UNION ALL SELECT u.node_id, l.parent, u.distance + 1 FROM up u JOIN links l ON l.child = u.ancestor_id)
       SELECT ancestor_id, node_id, distance FROM up""",
+    "p4_ranges": _TREE
+    + """, up AS (
+      SELECT child AS node_id, child AS ancestor_id FROM links WHERE child IN (SELECT node_id FROM walk)
+      UNION ALL SELECT u.node_id, l.parent FROM up u JOIN links l ON l.child = u.ancestor_id),
+      size AS (SELECT ancestor_id AS id, count(*) AS size FROM up GROUP BY 1),
+      own AS (SELECT w.node_id AS id, CASE WHEN w.depth = 0 THEN coalesce(s.size, 0) + 1 ELSE s.size END AS size, l.parent
+              FROM walk w LEFT JOIN size s ON s.id = w.node_id LEFT JOIN links l ON l.child = w.node_id),
+      step AS (SELECT id, 1 + coalesce(sum(size) OVER (PARTITION BY parent ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step
+               FROM own WHERE parent IS NOT NULL),
+      place AS (SELECT u.node_id AS id, sum(step) AS first FROM up u JOIN step ON step.id = u.ancestor_id GROUP BY 1)
+      SELECT w.node_id, w.root_id, w.depth, CAST(coalesce(p.first, 0) AS BIGINT) AS first, CAST(coalesce(p.first, 0) + o.size - 1 AS BIGINT) AS last
+      FROM walk w JOIN own o ON o.id = w.node_id LEFT JOIN place p ON p.id = w.node_id""",
 }

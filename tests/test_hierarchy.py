@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from loomgraph.operators.hierarchy import descendants, parent_links, resolve_hierarchy
+from loomgraph.operators.hierarchy import descendants, parent_links, preorder, resolve_hierarchy
 
 LINKS = "child string, parent string, depth int, node_id string"
 
@@ -65,3 +65,22 @@ def test_empty(spark):
 def test_direction(spark, rel, expected):
     edges = spark.createDataFrame([("a", rel, "b"), ("a", "CALLS", "x"), ("a", rel, ""), (None, rel, "b")], "src_id string, rel string, dst_id string")
     assert [tuple(r) for r in parent_links(edges).collect()] == [expected]
+
+
+def test_sizes_and_ranges(spark):
+    links = shapes()
+    df = spark.createDataFrame(links, LINKS)
+    expected = brute(links)
+    below = {k: sum(k in v[2] for v in expected.values()) for k, v in expected.items()}
+    known = resolve_hierarchy(df, with_size=True).collect()
+    assert {r.node_id: r.size for r in known} == {k: below[k] if v[1] >= 0 else 0 for k, v in expected.items()}
+    got = preorder(df).collect()
+    assert {(r.node_id, r.root_id, r.depth) for r in got} == {(k, v[0], v[1]) for k, v in expected.items() if v[1] >= 0}
+    by_root = {}
+    for r in got:
+        by_root.setdefault(r.root_id, []).append(r)
+    for rows in by_root.values():
+        assert sorted(r.first for r in rows) == list(range(len(rows)))
+        for r in rows:
+            assert {x.node_id for x in rows if r.first < x.first <= r.last} == {k for k, v in expected.items() if r.node_id in v[2] and k != r.node_id}
+    assert preorder(spark.createDataFrame([], LINKS)).count() == 0
