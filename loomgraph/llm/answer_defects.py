@@ -80,9 +80,11 @@ LIMITS = {128, 256, 512, 1024, 2048, 4096, 8192}
 _fence = re.compile(r"```.*?```", re.S)
 _ticks = re.compile(r"`[^`]*(?:`|$)")
 _quoted = re.compile("\"[^\"]*\"|«[^»]*»|“[^”]*”|„[^“”]*[“”]")
-_name = re.compile(r"\w*_\w*|\b\w*[a-z][A-Z]\w*|\b\w+(?:[./]\w+)+")
-_words = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+_token = re.compile(r"[\w\u0300-\u036f./]+")
+_camel = re.compile("[a-z][A-Z]")
+_run = re.compile(r"[^\W\d]+(?:[\u0300-\u036f]+[^\W\d]*)*")
 _curly = re.compile("[’ʼ]")
+_mark = re.compile(r"[()\[\]{}\"“”„«»]")
 _no_letters = re.compile(r"[\W_]+")
 _no_code = re.compile(r"```\w*\s*```")
 _frame = re.compile("^(?:question|frage|pregunta|câuhỏi|domanda|pergunta|вопрос|q)(?=.{20})|(?<=.{20})(?:answer|réponse|antwort|respuesta|trảlời|risposta|resposta|ответ|a)$")
@@ -91,11 +93,25 @@ _refusal = re.compile("|".join(REFUSALS.values()))
 _aside = re.compile(ASIDES)
 
 
-def prose(text: str) -> str:
-    """``text`` without code, quoted passages and identifiers."""
-    for pattern in (_fence, _ticks, _quoted, _name):
-        text = pattern.sub(" ", text)
-    return text
+def prose_words(text: str) -> set[str]:
+    """The different words of ``text``, in lower case, without code, quoted passages and identifiers."""
+    if "`" in text:
+        text = _ticks.sub(" ", _fence.sub(" ", text))
+    if _mark.search(text):
+        text = _quoted.sub(" ", text)
+    out = set()
+    for token in _token.findall(text):
+        token = token.strip("./")
+        if "_" in token or "." in token or "/" in token:
+            continue
+        low = token.lower()
+        if low != token and token[1:] != low[1:] and _camel.search(token):
+            continue
+        if low.isalpha():
+            out.add(low)
+        else:
+            out.update(_run.findall(low))
+    return out
 
 
 @lru_cache(maxsize=100_000)
@@ -120,7 +136,7 @@ class Language:
     """What speaks for each language in the prose of a text: hits (language to weight), different words, letters by script."""
 
     def __init__(self, text: str):
-        words = set(_words.findall(_curly.sub("'", prose(text)).lower()))
+        words = prose_words(text)
         self.words = len(words)
         hits: dict[str, float] = {}
         scripts: Counter = Counter()
@@ -187,16 +203,22 @@ def is_copy(q: str, a: str) -> bool:
     return again or bare == q or q.startswith(a) and len(a) >= 20 and len(a) * 10 >= len(q) * 6
 
 
+@lru_cache(maxsize=100_000)
+def _kind(sentence: str) -> str:
+    """'refusal', 'aside', or '' for a sentence that says more."""
+    return "refusal" if _refusal.search(sentence) else "aside" if _aside.match(sentence) else ""
+
+
 def is_refusal(answer: str) -> bool:
     """Every sentence refuses (in any of the languages) or merely apologises, and at least one refuses."""
     text = re.sub("`[^`]*`", "x", _curly.sub("'", answer.strip()).lower())
     refuses = False
     for sentence in _split.split(text):
         if sentence and any(c.isalnum() for c in sentence):
-            if _refusal.search(sentence):
-                refuses = True
-            elif not _aside.match(sentence):
+            kind = _kind(sentence)
+            if not kind:
                 return False
+            refuses = refuses or kind == "refusal"
     return refuses
 
 
@@ -206,7 +228,6 @@ _file = re.compile(r"^\s*(?:[-*•]\s+|\d+[.)]\s+)?[\w.\-/]*\w\.[A-Za-z]{1,5}(?:
 _tick_item = re.compile(r"^\s*(?:(?:[-*•]|\d+[.)])\s+)?`[^`]+`$")
 _tick_after = re.compile(r"[.!?…:。！？][\"'»”’)\]]*\s+`[^`]+`$")
 _bare = re.compile(r"^\s*(?:(?:[-*•]|\d+[.)])\s+)?[A-Za-z_][\w.]*(?:\(\))?$")
-_mark = re.compile(r"[()\[\]{}\"“”„«»]")
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“„", "“": "„", "»": "«"}
 
 
