@@ -244,7 +244,7 @@ def question_analysis(spark: SparkSession, folder: str) -> DataFrame:
     questions = table(spark, folder, "answer_records", "question").where("question IS NOT NULL").distinct()
     intent = X.relation_intent(q)
     return questions.select(
-        q, q.rlike("(?i)" + X.GLOBAL_QUESTION).alias("is_global"), intent["rel"].alias("rel"), intent["direction"].alias("direction"),
+        q, X.is_global(q).alias("is_global"), X.query_type(q).alias("query_type"), intent["rel"].alias("rel"), intent["direction"].alias("direction"),
         F.coalesce(X.hop_bound(q), intent["hops"]).alias("hops"), X.target_label(q).alias("target_label"),
         F.array_join(X.entities(q), ",").alias("entities"), F.array_join(X.keywords(q), ",").alias("keywords"),
     )

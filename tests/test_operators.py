@@ -313,7 +313,20 @@ def test_more_text_functions(spark):
     assert [value(X.context_size(F.lit(n))) for n in (1, 9000, 99999)] == [8192, 11264, 32768]
     assert value(X.clipped(F.lit("abcdef"), 3, "…")) == "abc…"
     assert value(X.chunk_header(F.lit("Function"), F.lit("C"), F.lit("f"), F.lit("a.py"), F.lit(3))) == "# [Function] C.f (a.py:3)"
-    assert value(X.node_text(F.lit("Class"), F.lit("C"), F.lit(None).cast("string"), F.lit(""))) == "Class C"
+    props = F.create_map(F.lit("file_path"), F.lit("a.py"), F.lit("signature"), F.lit("def f(x)"), F.lit("class_name"), F.lit("C"), F.lit("is_async"), F.lit("True"), F.lit("type"), F.lit("source"))
+    told = [value(X.node_text(F.lit(k), F.lit("f"), props)) for k in ("Module", "Class", "Function", "Document")]
+    assert told == ["[Module] f\nfile: a.py\ntype: source", "[Class] f\nfile: a.py", "[Function] f\ndef f(x)\nmethod of: C\nasync", "[Document] f"]
+    assert value(X.is_vietnamese(F.lit("giai thich ham nay"))) and not value(X.is_vietnamese(F.lit("explain this")))
+    assert value(X.entities(F.lit('Does "load_it" or `X` call "not this"?'))) == ["load_it", "X"]
+    assert value(X.hop_bound(F.lit("Which modules transitively import a?"))) == 3
+    assert [value(X.query_type(F.lit(q))) for q in ("tổng quan kiến trúc?", "Who are the callers of f?", "Where is f?")] == ["global", "exact_link:CALLS", "local"]
+    plan = value(X.graph_plan(F.lit("Which subclasses of BaseStore override the method flush_all()?")))
+    assert (plan.anchor, plan.first.direction, plan.result_step, plan.terminal) == ("BaseStore", "in", 1, "flush_all")
+    plan = value(X.graph_plan(F.lit("Which methods does LocalStore inherit from its base?")))
+    assert (plan.anchor, plan.first.direction, plan["then"].rel, plan.result_step) == ("LocalStore", "out", "DEFINES", 2)
+    assert value(X.graph_plan(F.lit("where is it?"))) is None
+    assert value(X.reference_answer(F.lit("q?"), F.array(F.lit("b"), F.lit("a")))) == "For the question 'q?', the relevant code entities are: a, b."
+    assert [value(X.is_noise(F.lit(p), F.lit("x"))) for p in ("src/venv/lib", "dist", "src/core")] == [True, True, False]
 
 
 def test_links_and_partitions(spark, tmp_path):
@@ -347,3 +360,36 @@ def test_chunk_excerpts_by_repository(spark, tmp_path):
     files = spark.createDataFrame(rows, "file_id long, repository string, file_path string, content string, day int")
     files.selectExpr("*", "timestamp_seconds(day) AS loaded_at").write.parquet(f"{tmp_path}/source_files.parquet")
     assert {(r.repository, r.excerpt) for r in chunk_excerpts(spark, str(tmp_path)).collect()} == {("r", "new"), ("s", "other")}
+
+
+def test_fused_rows_take_the_first_field_that_is_not_empty(spark):
+    r = [("q", 0, 1, "a", "graph", "", "A"), ("q", 0, 2, "b", "graph", "", "B"), ("q", 1, 1, "b", "vector", "text b", "other"), ("q", 1, 2, "b", "vector", "again", ""), ("q", 1, 3, "", "vector", "x", "x")]
+    df = spark.createDataFrame(r, "qid string, list int, rank int, item string, source string, text string, name string")
+    got = {x.item: (x.source, x.text, x.name) for x in retrieval.fuse_rows(df, F.lit(1.0)).collect()}
+    assert got == {"a": ("graph", None, "A"), "b": ("hybrid", "text b", "B")}
+
+
+def test_promotion_and_expansion(spark):
+    r = spark.createDataFrame([("q", 1, "__call__x", "Function"), ("q", 2, "a", "Class"), ("q", 3, "b", "Function"), ("p", 1, "a", "Class")], "qid string, pos int, item string, label string")
+    wanted = spark.createDataFrame([("q", "Function"), ("p", "Module")], "qid string, target_label string")
+    assert [(x.qid, x.item) for x in retrieval.promoted(r, wanted).orderBy("qid", "pos").collect()] == [("p", "a"), ("q", "b"), ("q", "a"), ("q", "__call__x")]
+    e = spark.createDataFrame([("a", "CALLS", "b"), ("c", "CALLS", "a"), ("b", "CALLS", "d")], LINKS)
+    anchors = spark.createDataFrame([("q", "a", 1.0, 1), ("q", "b", 0.8, 2), ("q", "z", 0.1, 7)], "qid string, item string, score double, rank int")
+    got = retrieval.expanded(anchors, e).orderBy("pos").collect()
+    assert [(x.item, round(x.score, 2), x.rel) for x in got] == [("a", 1.0, ""), ("c", 0.9, "CALLS"), ("b", 0.8, ""), ("d", 0.72, "CALLS")]
+
+
+def test_contexts_fit_their_budget(spark):
+    text = {"big": "x" * 4000, "small": "y" * 40}
+    r = [("q", "why?", i + 1, f"n{i}", 0.5, "vector", text[t], "", f"N{i}", "Function", p, "r") for i, (t, p) in enumerate([("small", "a.py"), ("big", "b.py"), ("small", "a.py"), ("small", ""), ("small", "")])]
+    df = spark.createDataFrame(r, "qid string, question string, pos int, item string, score double, source string, text string, rel string, name string, label string, file_path string, repository string")
+    (got,) = retrieval.packed(df, 200).collect()
+    assert (got.included, got.excluded) == (3, 1) and got.tokens <= 200
+    assert got.context.startswith("Query: why?\n\n[1] Function: N0 (a.py) [score=0.5000, src=vector]\n" + "y" * 40)
+    assert "[4] Function: N3 [score" in got.context and "N1" not in got.context and "N2" not in got.context
+
+
+def test_ranks_of_target_functions(spark):
+    found = spark.createDataFrame([("q", 1, "r::m.other", "other", "src/m.py"), ("q", 2, "r::m.load::3", "", "x/src/m.py"), ("p", 1, "r::m.load", "load", "m.py")], "qid string, pos int, item string, name string, file_path string")
+    cases = spark.createDataFrame([("q", "Load", "src\\m.py"), ("p", "load", "src/m.py"), ("s", "load", "m.py")], "qid string, target_function string, file_path string")
+    assert {r.qid: r["rank"] for r in retrieval.target_ranks(found, cases).collect()} == {"q": 2, "p": 1, "s": None}
