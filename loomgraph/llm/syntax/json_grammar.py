@@ -62,8 +62,47 @@ class Parser(Cursor):
                     return
 
 
+def _valid(tokens: list[Token]) -> bool:
+    """Whether the tokens are one value, however deep; a loop, since a descent would end at some depth."""
+    stack: list[str] = []
+    i, want = 0, "value"
+    while True:
+        t = tokens[i]
+        i += 1
+        if want == "end":
+            return t.kind == "end"
+        if want in ("value", "first"):
+            if t.kind == "op" and t.text in "[{" and t.text:
+                stack.append(t.text)
+                want = "first" if t.text == "[" else "first name"
+                continue
+            if want == "first" and t.kind == "op" and t.text == "]":
+                stack.pop()
+            elif not (t.kind in ("string", "number") or t.kind == "name" and t.text in ("true", "false", "null")):
+                return False
+        elif want in ("first name", "name"):
+            if want == "first name" and t.kind == "op" and t.text == "}":
+                stack.pop()
+            elif t.kind != "string" or tokens[i].text != ":" or tokens[i].kind != "op":
+                return False
+            else:
+                i, want = i + 1, "value"
+                continue
+        elif t.kind == "op" and t.text == ",":
+            want = "value" if stack[-1] == "[" else "name"
+            continue
+        elif t.kind == "op" and t.text == {"[": "]", "{": "}"}[stack[-1]]:
+            stack.pop()
+        else:
+            return False
+        want = "more" if stack else "end"
+
+
 def errors(text: str) -> list[tuple[int, str]]:
-    p = Parser(_tokens(text.removeprefix("\ufeff")))
+    tokens = _tokens(text.removeprefix("\ufeff"))
+    if _valid(tokens):
+        return []
+    p = Parser(tokens)
     try:
         p.value()
         if p.now.kind != "end":

@@ -142,6 +142,8 @@ class Lexer:
 
     def bracket(self, op: str) -> None:
         if op in "([{":
+            if len(self.open) == MAX_BRACKETS:
+                self.note("too many nested parentheses")
             self.open.append((op, self.line))
         elif op in ")]}":
             if not self.open:
@@ -1131,6 +1133,8 @@ class Parser(Cursor):
 
 
 BLOCKS = frozenset("if while for with try async def class".split())
+#: Fixed value: the compiler's limit.
+MAX_BRACKETS = 200
 LINES = frozenset("pass break continue return raise global nonlocal del assert import from".split())
 
 

@@ -168,3 +168,12 @@ def test_documented_functions(spark):
     df = spark.createDataFrame([(1, "r", "a.py", crlf, None, 1), (1, "r", "a.py", crlf, None, 1), (2, "r", "A.java", JV, None, 1), (3, "r", "b.py", "def f(:\n    'one two three four five'", None, 1), (4, "r", "c.py", None, None, 1)], FILES)
     got = [(r.file_id, r.line, r.name) for r in s.documented_functions(df).collect()]
     assert sorted(got) == [(1, 1, "outer"), (1, 11, "deep"), (1, 15, "parens"), (2, 3, "readAll"), (2, 4, "run"), (2, 11, "noBody")]
+
+
+@pytest.mark.parametrize("extension, text, valid", [
+    ("json", "[" * 300_000 + "]" * 300_000, True), ("json", '{"a":' * 50_000 + "1" + "}" * 50_000, True), ("json", "[" * 300_000, False), ("json", '{"a": [1, {"b": null}], "c": {}}', True),
+    ("json", '{"a": 1,}', False), ("json", "[1,]", False), ("json", "[] []", False), ("json", "", False), ("json", '{"a"}', False), ("json", "[1 2]", False), ("json", '{1: 2}', False),
+    ("py", "x = " + "(" * 200 + "1" + ")" * 200, True), ("py", "x = " + "(" * 201 + "1" + ")" * 201, False),
+])
+def test_depth(extension, text, valid):
+    assert (not check(extension, text)) == valid
