@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import text as X
+from loomgraph.functions.durable import Workspace
+from loomgraph.operators import code
 from loomgraph.operators import communities as com
 from loomgraph.operators import resolution as res
 from loomgraph.operators import traversal as tr
@@ -468,3 +470,53 @@ def index_status(spark: SparkSession, folder: str) -> DataFrame:
     m = m.groupBy(F.col("id").alias("repository")).agg(F.max_by(F.col("properties")["commit"], order).alias("graph_commit"), F.max_by("index_run_id", order).alias("last_run"))
     stale = F.when(F.coalesce("graph_commit", F.lit("")) == "", True).otherwise(F.col("graph_commit") != F.col("file_commit"))
     return s.join(m, "repository", "full").select("repository", "commits", "file_commit", "graph_commit", "last_run", stale.alias("is_stale"))
+
+
+_NOISE = " OR ".join(f"contains(coalesce(path, ''), '/{x}') OR starts_with(coalesce(path, ''), '{x}') OR coalesce(name, '') = '{x}'" for x in X.NOISE)
+_FOLDERS = f"""WITH d AS (SELECT id, label, path, name FROM (SELECT id, lower(trim(label)) AS label, properties['path'] AS path, properties['name'] AS name, deleted_at,
+  row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, index_run_id DESC, label DESC) AS rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1 AND deleted_at IS NULL),
+k AS (SELECT id, label FROM d WHERE label = 'repositorymetadata' OR label = 'directory' AND NOT ({_NOISE})),
+e AS (SELECT DISTINCT src_id, rel, dst_id FROM edges WHERE src_id <> '' AND dst_id <> '')"""
+
+
+@query(_FOLDERS + " SELECT src_id, dst_id FROM e WHERE rel = 'WEAK_LINK' AND src_id IN (SELECT id FROM k) AND dst_id IN (SELECT id FROM k)")
+def master_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between repositories and folders that are no noise, where both ends are left."""
+    rows = table(spark, folder, "nodes", "id", "label", "properties", "loaded_at", "index_run_id", "deleted_at").where("id IS NOT NULL")
+    last = up.last_wins(rows.withColumn("path", F.col("properties")["path"]).withColumn("name", F.col("properties")["name"]).drop("properties"), ["id"], ["loaded_at", "index_run_id", "label"])
+    label = F.lower(F.trim("label"))
+    quiet = ~X.is_noise(F.coalesce("path", F.lit("")), F.coalesce("name", F.lit("")))
+    kept = last.where(F.col("deleted_at").isNull() & ((label == "repositorymetadata") | (label == "directory") & quiet)).select("id")
+    e = links(table(spark, folder, "edges", "src_id", "rel", "dst_id")).where("rel = 'WEAK_LINK'")
+    e = e.join(kept, F.col("src_id") == F.col("id"), "left_semi").join(kept, F.col("dst_id") == F.col("id"), "left_semi")
+    return e.select("src_id", "dst_id")
+
+
+@query(WITH + _MEMBERS + "SELECT DISTINCT n.repository, m.community FROM m JOIN n USING (id)")
+def repository_communities(spark: SparkSession, folder: str) -> DataFrame:
+    """The communities that a repository's nodes are members of."""
+    n = graph(spark, folder)[0]
+    return com.members(n).join(n.select("id", "repository"), "id").select("repository", "community").distinct()
+
+
+@query()
+def built_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph that the source files give by themselves, resolved: its links by relation, and how many still end in a placeholder."""
+    files = table(spark, folder, "source_files", "repository", "file_path", "content").where("repository IS NOT NULL")
+    built = Workspace(spark, "built").cut(code.extract(files), "rows")
+    p = F.col("properties")
+    n = built.where("kind = 'node'").select(
+        "id", "label", p["name"].alias("name"), p["file_path"].alias("file_path"), p["type"].alias("type"), p["line_start"].cast("int").alias("line_start"),
+        F.when(F.coalesce(p["type"], F.lit("")) != "external", F.col("repository")).alias("repository"),
+    ).distinct()
+    e = built.where("kind = 'edge'").select(F.col("id").alias("src_id"), "rel", F.col("other").alias("dst_id"), F.coalesce(p["callee_expr"], F.lit("")).alias("expr"), "repository")
+    calls = res.resolve_calls(e.where("rel = 'CALLS'").withColumnRenamed("expr", "callee_expr"), n, e.where("rel = 'IMPORTS'"))
+    stubs = res.resolve_stubs(e.where("rel IN ('IMPORTS', 'INHERITS')").select("repository", F.col("dst_id").alias("stub")), n)
+    real = n.where("coalesce(type, '') <> 'external'").select(F.col("id").alias("n_id"), "repository", "file_path")
+    whole = res.redirect(e, calls, stubs)
+    docs = code.non_code(files).select("id", "repository", F.col("properties")["file_path"].alias("file_path"))
+    modules = n.where("label = 'Module' AND coalesce(type, '') <> 'external'").select("id", "repository", "file_path")
+    held = code.holders(modules, "DEFINES").unionByName(code.holders(docs, "WEAK_LINK")).unionByName(folder_links(files)).select("src_id", "rel", "dst_id")
+    whole = whole.withColumn("open", F.lit(True)).unionByName(held.withColumn("open", F.lit(False)))
+    ended = whole.join(real.select("n_id"), F.col("dst_id") == F.col("n_id"), "left")
+    return ended.groupBy("rel").agg(F.count("*").alias("n"), F.count_if(F.col("open") & F.col("n_id").isNull()).alias("placeholders"))

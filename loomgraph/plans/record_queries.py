@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import text as X
-from loomgraph.operators import code, ranking
+from loomgraph.operators import code, evaluation, ranking
 from loomgraph.operators.percentile import exact_percentiles
-from loomgraph.operators.retrieval import retrieve
+from loomgraph.operators.retrieval import contexts, expanded, fuse_rows, retrieve, target_ranks
 from loomgraph.operators.vectors import cosine_top_k
-from loomgraph.sources.files import anchor_excerpts, faulty_cases, normal_path, snapshot_changes
-from loomgraph.sources.graph import graph
+from loomgraph.sources.files import anchor_excerpts, normal_path, snapshot_changes
+from loomgraph.sources.graph import VIEWS, graph
 from loomgraph.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -238,6 +238,22 @@ def question_routing(spark: SparkSession, folder: str) -> DataFrame:
     return questions.select(q, X.routed_type(q).alias("routed"), q.rlike(r"(?i)\b(?:method resolution order|mro)\b").alias("asks_mro"), snake.alias("snake"))
 
 
+def _intent_sql(k: int) -> str:
+    cases = " ".join(f"WHEN regexp_matches(question, '(?i){x[0]}') THEN {repr(x[k])}" for x in X.RELATION_QUESTIONS)
+    return f"CASE {cases} END"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT question FROM answer_records WHERE question IS NOT NULL UNION SELECT question FROM gold_cases)
+SELECT question, regexp_matches(question, '(?i)\\b(?:{"|".join(X.GLOBAL_QUESTIONS)})\\b') AS is_global, {_intent_sql(1)} AS rel, {_intent_sql(2)} AS direction, {_intent_sql(3)} AS hops,
+len(list_distinct(regexp_extract_all(question, '{X.SNAKE}', 1))) AS snakes FROM q""")
+def question_intents(spark: SparkSession, folder: str) -> DataFrame:
+    q = F.col("question")
+    asked = table(spark, folder, "answer_records", "question").where("question IS NOT NULL").union(table(spark, folder, "gold_cases", "question")).distinct()
+    intent = X.relation_intent(q)
+    snakes = F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(X.SNAKE), 1))).cast("bigint")
+    return asked.select(q, X.is_global(q).alias("is_global"), intent["rel"].alias("rel"), intent["direction"].alias("direction"), intent["hops"].alias("hops"), snakes.alias("snakes"))
+
+
 @query()
 def question_analysis(spark: SparkSession, folder: str) -> DataFrame:
     q = F.col("question")
@@ -267,7 +283,11 @@ def source_graph(spark: SparkSession, folder: str) -> DataFrame:
     return code.extract(table(spark, folder, "source_files", "repository", "file_path", "content"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT ON (record_id) record_id, coalesce(contexts, []) AS c FROM answer_records),
+f AS (SELECT record_id, c, 0 AS i, 0 AS kept, 0 AS used FROM r
+      UNION ALL SELECT record_id, c, i + 1, kept + CAST(coalesce(used + length(c[i + 1]) <= 600, false) AS INT),
+        used + CASE WHEN coalesce(used + length(c[i + 1]) <= 600, false) THEN CAST(length(c[i + 1]) AS INT) ELSE 0 END FROM f WHERE i < len(c))
+SELECT record_id, kept, used FROM f WHERE i = len(c)""")
 def packed_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.pack(_records(spark, folder, "contexts"), ["record_id"], "contexts", 600)
 
@@ -374,11 +394,132 @@ def snapshot_differences(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(last(files.where("loaded_at < TIMESTAMP '2025-06-01'")), last(files))
 
 
-@query("""SELECT id, unnest(list_filter([CASE WHEN trim(coalesce(question, '')) = '' THEN 'no question' END, CASE WHEN trim(coalesce(reference_answer, '')) = '' THEN 'no answer' END,
-CASE WHEN NOT coalesce(difficulty IN ('simple', 'multi_hop', 'hard'), false) THEN 'unknown difficulty' END, CASE WHEN coalesce(len(source_files), 0) < 1 THEN 'no source file' END,
-CASE WHEN len(list_filter(coalesce(source_anchors, []), lambda a: NOT regexp_matches(a, '^.+:\\d+-\\d+$'))) > 0 THEN 'malformed anchor' END], lambda x: x IS NOT NULL)) AS fault FROM gold_cases""")
+def _damaged(cases: DataFrame) -> DataFrame:
+    """Every case as it is, and once for each way to damage it."""
+    ways = cases.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    k, none = F.col("k"), F.array().cast("array<string>")
+    put = lambda n, c, value: F.when(k == n, value).otherwise(F.col(c)).alias(c)
+    first = F.get("source_files", F.lit(0))
+    anchors = (
+        F.when(k == 4, F.transform("source_anchors", lambda a: F.replace(a, F.lit(":"), F.lit(" ")))).when(k == 5, F.array(F.lit("elsewhere.py:1-2")))
+        .when(k == 6, F.array(F.concat(first, F.lit(":9-3")))).otherwise(F.col("source_anchors"))
+    )
+    return ways.select(
+        F.when(k == 7, F.lit("same")).otherwise(F.concat_ws("-", "id", k.cast("string"))).alias("id"), put(1, "question", F.lit(" ")), put(2, "difficulty", F.lit("odd")),
+        "reference_answer", put(3, "source_files", none), anchors.alias("source_anchors"), put(3, "reference_contexts", F.array(F.lit(""))),
+    )
+
+
+_DAMAGED = """WITH w AS (SELECT g.*, k FROM gold_cases g, (SELECT unnest(range(8)) AS k)),
+d AS (SELECT CASE WHEN k = 7 THEN 'same' ELSE id || '-' || k END AS id, CASE WHEN k = 1 THEN ' ' ELSE question END AS question,
+  CASE WHEN k = 2 THEN 'odd' ELSE difficulty END AS difficulty, reference_answer, CASE WHEN k = 3 THEN [] ELSE source_files END AS source_files,
+  CASE WHEN k = 4 THEN list_transform(source_anchors, lambda a: replace(a, ':', ' ')) WHEN k = 5 THEN ['elsewhere.py:1-2'] WHEN k = 6 THEN [source_files[1] || ':9-3']
+    ELSE source_anchors END AS source_anchors, CASE WHEN k = 3 THEN [''] ELSE reference_contexts END AS reference_contexts FROM w),
+c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM d)"""
+
+
+@query(_DAMAGED + """ SELECT id, unnest(list_filter([CASE WHEN n > 1 THEN 'id of another case' END, CASE WHEN trim(question) = '' THEN 'no question' END,
+CASE WHEN difficulty NOT IN ('simple', 'multi_hop', 'hard') THEN 'unknown difficulty' END, CASE WHEN len(source_files) < 1 THEN 'no source file' END,
+CASE WHEN len(source_anchors) < 1 THEN 'no anchor' END, CASE WHEN len(reference_contexts) < 1 THEN 'no context' END,
+CASE WHEN len(list_filter(reference_contexts, lambda x: trim(x) = '')) + len(list_filter(source_files, lambda x: trim(x) = '')) > 0 THEN 'empty value' END,
+CASE WHEN len(list_filter(source_anchors, lambda a: NOT regexp_full_match(a, '.+:\\d+-\\d+'))) > 0 THEN 'malformed anchor' END,
+CASE WHEN len(list_filter(source_anchors, lambda a: regexp_full_match(a, '.+:\\d+-\\d+') AND NOT list_contains(source_files, regexp_extract(a, '^(.+):\\d+-\\d+$', 1)))) > 0 THEN 'anchor of another file' END,
+CASE WHEN len(list_filter(source_anchors, lambda a: TRY_CAST(regexp_extract(a, '^.+:(\\d+)-(\\d+)$', 2) AS INT) < TRY_CAST(regexp_extract(a, '^.+:(\\d+)-(\\d+)$', 1) AS INT))) > 0 THEN 'anchor ends before it starts' END],
+lambda x: x IS NOT NULL)) AS fault FROM c""")
 def gold_faults(spark: SparkSession, folder: str) -> DataFrame:
-    return faulty_cases(table(spark, folder, "gold_cases"))
+    """The faults of every case, and of copies that are damaged in each way."""
+    return evaluation.faulty_cases(_damaged(table(spark, folder, "gold_cases")), ("simple", "multi_hop", "hard"))
+
+
+@query("""WITH d AS (SELECT difficulty AS name, count(*) AS n FROM gold_cases GROUP BY 1), f AS (SELECT file AS name, count(*) AS n FROM (SELECT unnest(source_files) AS file FROM gold_cases) GROUP BY 1)
+SELECT 'difficulty' AS what, name, n FROM d WHERE n <> CASE name WHEN 'simple' THEN 35 WHEN 'medium' THEN 35 WHEN 'hard' THEN 30 ELSE 0 END
+UNION ALL SELECT 'crowded file', name, n FROM f WHERE n > 2 UNION ALL SELECT 'too few files', '', count(*) FROM f HAVING count(*) < 20""")
+def gold_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    cases = table(spark, folder, "gold_cases", "difficulty", "source_files")
+    return evaluation.distribution_faults(cases, {"simple": 35, "medium": 35, "hard": 30}, 20, 2)
+
+
+@query("""WITH k AS (SELECT g.id AS case_id, m.mode, r.run FROM gold_cases g, (SELECT DISTINCT mode FROM answer_records WHERE mode IS NOT NULL) m, (SELECT DISTINCT run FROM answer_records WHERE run IS NOT NULL) r)
+SELECT mode, count(*) AS n FROM (SELECT * FROM k EXCEPT SELECT case_id, mode, run FROM answer_records) GROUP BY mode""")
+def pending_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """How many case, mode and run no record has yet, by mode; modes and runs are a handful."""
+    r = table(spark, folder, "answer_records", "case_id", "mode", "run")
+    expected = table(spark, folder, "gold_cases", "id").select(F.col("id").alias("case_id"))
+    for c in ("mode", "run"):
+        expected = expected.crossJoin(F.broadcast(r.select(c).where(F.col(c).isNotNull()).distinct()))
+    return evaluation.pending(expected, r, ["case_id", "mode", "run"]).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + _RECORDS + f""", v AS (SELECT mode, {_finite('generation_latency_ms')} AS ms FROM r)
+SELECT mode, count(ms) AS n, min(ms) AS least, max(ms) AS most, {_mean_sql('ms')} AS mean FROM v GROUP BY mode""")
+def latency_spread(spark: SparkSession, folder: str) -> DataFrame:
+    r = _records(spark, folder, "mode", "generation_latency_ms").select("mode", _measured("generation_latency_ms").alias("ms"))
+    return r.groupBy("mode").agg(F.count("ms").alias("n"), F.min("ms").alias("least"), F.max("ms").alias("most"), _mean("ms").alias("mean"))
+
+
+@query("WITH " + _RECORDS + f""", v AS (SELECT mode, round({_finite('retrieval_latency_ms')}) AS ms FROM r), k AS (SELECT mode, ms, row_number() OVER (PARTITION BY mode ORDER BY ms) AS rn, count(*) OVER (PARTITION BY mode) AS n FROM v WHERE ms IS NOT NULL)
+SELECT mode, p, ms AS value FROM k, (SELECT unnest([0.5::DOUBLE, 0.95]) AS p) WHERE rn = greatest(1, CAST(floor(p * n) AS BIGINT))""")
+def latency_nearest_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest-rank percentiles of whole milliseconds."""
+    r = _records(spark, folder, "mode", "retrieval_latency_ms").select("mode", F.round(_measured("retrieval_latency_ms")).alias("ms"))
+    return evaluation.nearest_ranks(r, "mode", "ms", [0.5, 0.95])
+
+
+@query("WITH " + VIEWS + """, c AS (SELECT repository AS qid, id AS item, row_number() OVER (PARTITION BY repository ORDER BY id) AS rank FROM n WHERE label = 'Class' AND repository IS NOT NULL),
+a AS (SELECT qid, item, 1.0::DOUBLE / rank AS score, rank FROM c WHERE rank <= 6),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY rel, other) AS pos FROM (SELECT src_id AS id, rel, dst_id AS other, 'out' AS direction FROM e UNION ALL SELECT dst_id, rel, src_id, 'in' FROM e)) WHERE pos <= 10),
+m AS (SELECT qid, item, score, '' AS rel, 0 AS part, rank, '' AS direction, 0 AS k FROM a UNION ALL SELECT qid, other, score * 0.9, s.rel, 1, rank, direction, pos FROM a JOIN s ON s.id = a.item),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, item ORDER BY part, rank, direction, k) AS rn FROM m)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, part, rank, direction, k, item) AS pos, item, score, rel FROM f WHERE rn = 1""")
+def expanded_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The first classes of each repository as anchors, with their neighbours."""
+    n, e = graph(spark, folder)
+    c = n.where("label = 'Class' AND repository IS NOT NULL").select(F.col("repository").alias("qid"), F.col("id").alias("item"))
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("item"))).where("rank <= 6")
+    return expanded(c.withColumn("score", 1.0 / F.col("rank")), e)
+
+
+@query("WITH " + _RECORDS + """, x AS (SELECT case_id AS qid, record_id AS list, unnest(retrieved_files) AS item, generate_subscripts(retrieved_files, 1) AS rank, coalesce(mode, '') AS source FROM r WHERE case_id IS NOT NULL),
+k AS (SELECT qid, list, item, min(rank) AS rank, any_value(source) AS source FROM x WHERE item <> '' GROUP BY 1, 2, 3)
+SELECT qid, item, CAST(sum(CAST(round(1.0 / (60 + rank) * 1e9) AS BIGINT)) AS BIGINT) / 1e9 AS score, CASE WHEN count(DISTINCT source) FILTER (WHERE source <> '') > 1 THEN 'hybrid' ELSE max(source) FILTER (WHERE source <> '') END AS source,
+min_by(list_last(string_split(item, '/')), (list, rank)) AS name FROM k GROUP BY 1, 2""")
+def fused_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that all records of a case retrieved, fused as whole rows."""
+    r = _records(spark, folder, "case_id", "mode", "retrieved_files").where("case_id IS NOT NULL")
+    x = r.select(F.col("case_id").alias("qid"), F.col("record_id").alias("list"), F.coalesce("mode", F.lit("")).alias("source"), F.posexplode("retrieved_files").alias("rank", "item"))
+    return fuse_rows(x.select("qid", "list", "source", "item", (F.col("rank") + 1).alias("rank"), F.substring_index("item", "/", -1).alias("name")), F.lit(1.0))
+
+
+@query("WITH " + VIEWS + """ SELECT 'repoqa-' || id AS qid, name AS target_function, file_path, CASE WHEN length(q) > 200 THEN q[1:197] || '...' ELSE q END AS question
+FROM (SELECT *, trim(string_split(trim(docstring, chr(10) || ' '), chr(10))[1]) AS q FROM n WHERE label = 'Function' AND length(docstring) > 40 AND name <> '' AND file_path <> '') ORDER BY md5(id), id LIMIT 50""")
+def repoqa_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifty documented functions, drawn by a hash of their ids, each with the first line of its docstring as question."""
+    n = graph(spark, folder)[0].where("label = 'Function' AND length(docstring) > 40 AND name <> '' AND file_path <> ''")
+    q = F.trim(F.get(F.split(F.expr("trim(BOTH '\n ' FROM docstring)"), "\n"), F.lit(0)))
+    drawn = n.orderBy(F.md5("id"), "id").limit(50)
+    return drawn.select(F.concat(F.lit("repoqa-"), "id").alias("qid"), F.col("name").alias("target_function"), "file_path", q.alias("q")).select(
+        "qid", "target_function", "file_path", F.when(F.length("q") > 200, F.concat(F.substring("q", 1, 197), F.lit("..."))).otherwise(F.col("q")).alias("question")
+    )
+
+
+@query()
+def repoqa_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Where hybrid and vector retrieval find the drawn functions: qid, mode, rank."""
+    cases, (n, e) = repoqa_sample(spark, folder), graph(spark, folder)
+    names = n.select(F.col("id").alias("n_id"), "name", "file_path")
+    ranks = []
+    for mode, alone in (("hybrid", False), ("vector", True)):
+        found = retrieve(cases.select("qid", "question"), n, e, 10, skip_graph=alone).join(names, F.col("item") == F.col("n_id"), "left")
+        ranks.append(target_ranks(found, cases).select("qid", F.lit(mode).alias("mode"), "rank"))
+    return ranks[0].unionByName(ranks[1])
+
+
+@query()
+def retrieved_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """The packed context of every question that was asked."""
+    asked = table(spark, folder, "gold_cases", "id", "question").where("question <> ''").select(F.col("id").alias("qid"), "question")
+    n, e = graph(spark, folder)
+    return contexts(asked, n, e)
 
 
 _PATH = r"regexp_replace(regexp_replace(lower(replace(file_path, '\', '/')), '^(?:\./|/)+(?:src/)?|^src/', ''), '/(?:\./|/)+', '/', 'g')"

@@ -52,26 +52,17 @@ def repoqa_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPOQA).option("multiLine", True).json(path)
 
 
+def gold_datasets(spark: SparkSession, path: str) -> DataFrame:
+    """One row per data set, as it stands in its file."""
+    return spark.read.schema(GOLD).option("multiLine", True).json(path)
+
+
 def gold_cases(spark: SparkSession, path: str) -> DataFrame:
     """One row per case with the data set's name, identity and review status."""
-    data = spark.read.schema(GOLD).option("multiLine", True).json(path)
+    data = gold_datasets(spark, path)
     return data.select("name", "schema_version", "source_identity", F.col("review.status").alias("review"), F.explode("cases").alias("c")).select("name", "schema_version", "source_identity", "review", "c.*")
 
 
-def faulty_cases(cases: DataFrame) -> DataFrame:
-    """(id, fault) for every rule of a sound case that one breaks: no text, unknown difficulty, no or malformed anchors."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    faults = {
-        "no question": blank("question"),
-        "no answer": blank("reference_answer"),
-        "unknown difficulty": ~F.coalesce(F.col("difficulty").isin("simple", "multi_hop", "hard"), F.lit(False)),
-        "no source file": F.coalesce(F.size("source_files"), F.lit(0)) < 1,
-        "malformed anchor": F.exists(F.coalesce("source_anchors", F.array().cast("array<string>")), lambda a: ~a.rlike(r"^.+:\d+-\d+$")),
-    }
-    named = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in faults.items())), lambda x: x.isNotNull())
-    return cases.select("id", F.explode(named).alias("fault"))
-
-
 def changes(lines: DataFrame, column: str = "line") -> DataFrame:
     """(file_path, change) of status lines: 'deleted' for D and a rename's old name, else 'modified'; unwanted files left out."""
     row = F.split(F.regexp_replace(F.trim(column), r"^\?\?\s+", "A\t"), r"\t+")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import code, communities, ranking, resolution, retrieval, traversal, upserts
+from loomgraph.operators import code, communities, evaluation, ranking, resolution, retrieval, traversal, upserts
 from loomgraph.operators.folders import folder_links
 from loomgraph.operators.percentile import exact_percentiles
 from loomgraph.operators.vectors import cosine_top_k, valid_vector
@@ -259,7 +259,8 @@ def test_source_tree_and_case_files(spark, tmp_path):
     gold = {"name": "g", "schema_version": 1, "source_identity": "s", "review": {"status": "ok"}, "cases": [{"id": "1", "difficulty": "odd", "question": " ", "source_files": ["a.py"], "source_anchors": ["a.py:1-2", "a.py"]}]}
     (tmp_path / "g.json").write_text(json.dumps(gold, indent=1))
     cases = files.gold_cases(spark, str(tmp_path / "g.json"))
-    assert {r.fault for r in files.faulty_cases(cases).collect()} == {"no question", "no answer", "unknown difficulty", "malformed anchor"}
+    assert {r.fault for r in evaluation.faulty_cases(cases).collect()} == {"no question", "no answer", "unknown difficulty", "malformed anchor", "no context"}
+    assert {r.fault for r in evaluation.faulty_datasets(files.gold_datasets(spark, str(tmp_path / "g.json"))).collect()} == {"identity may change", "unknown review status", "still a draft"}
     (tmp_path / "q.json").write_text(json.dumps([{"id": "1", "question": "q", "target_function": "f"}]))
     assert files.repoqa_cases(spark, str(tmp_path / "q.json")).first().target_function == "f"
 
@@ -393,3 +394,24 @@ def test_ranks_of_target_functions(spark):
     found = spark.createDataFrame([("q", 1, "r::m.other", "other", "src/m.py"), ("q", 2, "r::m.load::3", "", "x/src/m.py"), ("p", 1, "r::m.load", "load", "m.py")], "qid string, pos int, item string, name string, file_path string")
     cases = spark.createDataFrame([("q", "Load", "src\\m.py"), ("p", "load", "src/m.py"), ("s", "load", "m.py")], "qid string, target_function string, file_path string")
     assert {r.qid: r["rank"] for r in retrieval.target_ranks(found, cases).collect()} == {"q": 2, "p": 1, "s": None}
+
+
+def test_rules_of_case_sets(spark):
+    c = [("1", "simple", "What does the component do?", ["a.py"]), ("2", "hard", "How is step 3 run?", ["a.py"]), ("3", "hard", "How is  step 41 run?", ["b.py"]), ("4", "odd", "See component #12", [])]
+    cases = spark.createDataFrame(c, "id string, difficulty string, question string, source_files array<string>")
+    assert rows(evaluation.template_questions(cases)) == [("1", "generic"), ("2", "repeated"), ("3", "repeated"), ("4", "numbered")]
+    assert rows(evaluation.distribution_faults(cases, {"simple": 1, "hard": 1}, 3, 1)) == [("crowded file", "a.py", 2), ("difficulty", "hard", 2), ("difficulty", "odd", 1), ("too few files", "", 2)]
+    reviews = spark.createDataFrame([("a", "approved", "X", "human", "2025", "approved_human_review"), ("b", "draft", None, "ai_source_review", "", "approved_human_review")], "name string, status string, reviewer string, reviewer_type string, reviewed_at string, evidence_grade string")
+    assert rows(evaluation.review_faults(reviews, False)) == [("b", "not attributable"), ("b", "source not validated"), ("b", "wrong grade")]
+
+
+def test_work_that_is_left(spark):
+    expected = spark.createDataFrame([(i, m) for i in range(3) for m in "xy"], "case int, mode string")
+    done = spark.createDataFrame([(0, "x"), (0, "x"), (1, "y"), (9, "x")], "case int, mode string")
+    assert rows(evaluation.pending(expected, done, ["case", "mode"])) == [(0, "y"), (1, "x"), (2, "x"), (2, "y")]
+    assert rows(evaluation.unexpected(expected, done, ["case", "mode"])) == [(0, "x", "repeated"), (9, "x", "unexpected")]
+    t = "id string, items array<int>"
+    old, new = spark.createDataFrame([("a", [1, 2]), ("b", [1, 2])], t), spark.createDataFrame([("a", [1, 2, 3]), ("b", [1, 9])], t)
+    assert rows(evaluation.lost_prefix(old, new)) == [("b", 1, 2, 9)]
+    df = spark.createDataFrame([("g", float(v)) for v in (5, 1, 3, 3, 2)] + [(None, 7.0), ("g", None)], "g string, v double")
+    assert {(r.g, r.p): r.value for r in evaluation.nearest_ranks(df, "g", "v", [0.5, 0.95]).collect()} == {("g", 0.5): 2.0, ("g", 0.95): 3.0, (None, 0.5): 7.0, (None, 0.95): 7.0}
