@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.durable import Workspace
 from loomgraph.functions.spreading import spread
 
 #: Words that name units.
@@ -140,9 +141,12 @@ def gold_windows(held: DataFrame, parts: frozenset[str], n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _templates(parts, n)
         for batch in batches:
-            for case, text in zip(batch["case_id"], batch["text"], strict=True):
-                template, slots, plain = t.windows(text)
-                yield pd.DataFrame({"template": template, "slots": slots, "case_id": case, "plain": plain})
+            if not len(batch):
+                continue
+            found = [t.windows(text) for text in batch["text"]]
+            template, slots, plain = (np.concatenate(x) for x in zip(*found, strict=True))
+            cases = np.repeat(batch["case_id"].to_numpy(dtype=object), [len(x) for x, _, _ in found])
+            yield pd.DataFrame({"template": template, "slots": slots, "case_id": cases, "plain": plain})
 
     return held.mapInPandas(run, "template bigint, slots bigint, case_id string, plain bigint").distinct()
 
@@ -186,7 +190,7 @@ def _joined(columns: list[np.ndarray]) -> np.ndarray:
 def _held(cases: DataFrame, n: int) -> tuple[DataFrame, frozenset[str]]:
     held = passages(cases.select("id", "question", "reference_answer", "reference_contexts")).distinct()
     parts = name_parts(held)
-    return gold_windows(held, parts, n), parts
+    return Workspace(cases.sparkSession, "evaluation").cut(gold_windows(held, parts, n), "windows"), parts
 
 
 def leaks(
