@@ -162,14 +162,6 @@ def callers_by_name(spark: SparkSession, folder: str) -> DataFrame:
     return seen.groupBy(F.coalesce("name", "id").alias("name")).agg(F.count_distinct("other").alias("callers"))
 
 
-@query(WITH + """, f AS (SELECT id, file_path, name FROM n WHERE label = 'Function' AND file_path <> '')
-SELECT id, string_agg(name, ',' ORDER BY name) AS siblings, count(*) AS n FROM (
-  SELECT DISTINCT a.id, b.name FROM e JOIN f a ON a.id = e.src_id JOIN f b ON b.id = e.dst_id AND b.file_path = a.file_path WHERE rel = 'CALLS') GROUP BY id""")
-def called_siblings(spark: SparkSession, folder: str) -> DataFrame:
-    n, e = graph(spark, folder)
-    return tr.called_siblings(e, n)
-
-
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     """The links as a parser leaves them, before resolution: called functions, bases and imported modules by name."""
     e = table(spark, folder, "edges", "src_id", "rel", "dst_id", "properties").where("rel IN ('CALLS', 'IMPORTS', 'INHERITS') AND src_id LIKE '%::%' AND dst_id <> ''")
@@ -271,6 +263,15 @@ def redirected_links(spark: SparkSession, folder: str) -> DataFrame:
     return res.redirect(p, calls, stubs)
 
 
+@query(WITH + _PARSED + _CALLS + _STUBS + _LINKS + """, h AS (SELECT id, file_path, name FROM n WHERE label = 'Function' AND file_path <> '')
+SELECT id, string_agg(name, ',' ORDER BY name) AS siblings, count(*) AS n FROM (
+  SELECT DISTINCT a.id, b.name FROM l JOIN h a ON a.id = l.src_id JOIN h b ON b.id = l.dst_id AND b.file_path = a.file_path WHERE rel = 'CALLS') GROUP BY id""")
+def called_siblings(spark: SparkSession, folder: str) -> DataFrame:
+    """The functions of its own file that each function calls, by the resolved links."""
+    n, p, calls, stubs = _resolved(spark, folder)
+    return tr.called_siblings(res.redirect(p, calls, stubs), n)
+
+
 @query(WITH + _PARSED + _CALLS + _STUBS + _LINKS + """ SELECT id, label FROM n WHERE NOT (coalesce(type, '') = 'external' OR starts_with(id, '__call__'))
 OR EXISTS (SELECT 1 FROM l WHERE n.id IN (dst_id, src_id))""".replace("EXISTS (SELECT 1 FROM l WHERE n.id IN (dst_id, src_id))", "id IN (SELECT dst_id FROM l UNION SELECT src_id FROM l)"))
 def nodes_without_unused_stubs(spark: SparkSession, folder: str) -> DataFrame:
