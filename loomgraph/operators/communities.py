@@ -43,3 +43,11 @@ def link_counts(links: DataFrame, member: DataFrame) -> DataFrame:
 def dependencies(links: DataFrame, member: DataFrame) -> DataFrame:
     """Directed links between different communities: src_community, dst_community, weight."""
     return crossing(links, member).where("src_community <> dst_community").groupBy("src_community", "dst_community").agg(F.count("*").alias("weight"))
+
+
+def community_links(links: DataFrame, member: DataFrame) -> DataFrame:
+    """What communities add to a graph: src_id, rel, dst_id, weight. IN_COMMUNITY from each member to its community, DEPENDS_ON
+    between communities. Written by repository (``upserts.write_by_repository``), they replace those of earlier runs."""
+    inside = member.select(F.col("id").alias("src_id"), F.lit("IN_COMMUNITY").alias("rel"), F.col("community").alias("dst_id"), F.lit(1).cast("bigint").alias("weight"))
+    between = dependencies(links, member).select(F.col("src_community").alias("src_id"), F.lit("DEPENDS_ON").alias("rel"), F.col("dst_community").alias("dst_id"), "weight")
+    return inside.unionByName(between)

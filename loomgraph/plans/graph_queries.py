@@ -357,6 +357,23 @@ def community_dependencies(spark: SparkSession, folder: str) -> DataFrame:
     return com.dependencies(e, com.members(n))
 
 
+@query(WITH + _MEMBERS + """, d AS (SELECT a.community AS src_id, b.community AS dst_id, count(*) AS weight
+FROM e JOIN m a ON a.id = e.src_id JOIN m b ON b.id = e.dst_id WHERE a.community <> b.community GROUP BY 1, 2)
+SELECT id AS src_id, 'IN_COMMUNITY' AS rel, community AS dst_id, CAST(1 AS BIGINT) AS weight FROM m UNION ALL SELECT src_id, 'DEPENDS_ON', dst_id, weight FROM d""")
+def community_links(spark: SparkSession, folder: str) -> DataFrame:
+    n, e = graph(spark, folder)
+    return com.community_links(e, com.members(n))
+
+
+@query(WITH + """, c AS (SELECT DISTINCT node_id, regexp_replace(node_id, '::\\d+$', '') AS base FROM chunks)
+SELECT c.node_id, coalesce(n.name, list_last(string_split(base, '::'))) AS name FROM c LEFT JOIN n ON n.id = c.base""")
+def chunk_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The name of every chunk's node, or the last part of its id where no node has it."""
+    c = table(spark, folder, "chunks", "node_id").distinct().withColumn("base", X.base_node_id(F.col("node_id")))
+    n = graph(spark, folder)[0].select("id", "name")
+    return c.join(n, F.col("base") == F.col("id"), "left").select("node_id", F.coalesce("name", F.substring_index("base", "::", -1)).alias("name"))
+
+
 @query("""WITH r AS (SELECT DISTINCT id, label, repository, index_run_id, loaded_at, deleted_at FROM nodes WHERE id IS NOT NULL)
 SELECT id, max_by(label, (loaded_at, index_run_id, label)) AS label, max_by(index_run_id, (loaded_at, index_run_id, label)) AS index_run_id FROM r GROUP BY id""")
 def upsert_last_wins(spark: SparkSession, folder: str) -> DataFrame:
