@@ -148,6 +148,8 @@ def resolve_hierarchy(
         space.cut(found, f"resolved/step={step}")
         paths.append(space.path(f"resolved/step={step}"))
         known = links.sparkSession.read.schema(known.schema).parquet(*paths)
+    for done in ["links", *(f"round-{i}" for i in range(number + 1))]:  # all that is read from here on is under resolved
+        space.drop(done)
     if with_size:
         below = known.where("depth >= 0").groupBy(F.col("root_id").alias("r_id")).agg(F.count("*").alias("r_size"))
         known = known.join(below, (F.col("node_id") == F.col("r_id")) & (F.col("depth") == 0), "left").withColumn("size", F.coalesce("r_size", "size")).drop("r_id", "r_size")
