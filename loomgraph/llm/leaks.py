@@ -103,21 +103,22 @@ class Templates:
             self.known[word] = (_hash(f"\x01{kind}"), _hash(word) | 1) if kind else (_hash(word), 0)
         return self.known[word]
 
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each window: hashes of its template and of its slots, and how many of its words are no placeholders."""
-        pairs = [self._word(w) for w in words(text)]
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window of all ``texts``: the number of its text, hashes of its template and of its slots, and how many of its words
+        are no placeholders. Texts lie one after another; windows over two of them are left out."""
+        found = [words(t) for t in texts]
+        ends = np.cumsum([len(w) for w in found])
+        pairs = [self.known.get(w) or self._word(w) for ws in found for w in ws]
         count = len(pairs) - self.n + 1
         if count < 1:
-            return (np.zeros(0, dtype="int64"),) * 2 + (np.zeros(0, dtype="int64"),)
+            return (np.zeros(0, dtype="int64"),) * 4
         both = np.array(pairs, dtype="uint64")
         shown, slot = both[:, 0], both[:, 1]
-        last: dict[int, int] = {}
+        at = np.flatnonzero(slot)
         back = np.zeros(len(pairs), dtype="uint64")  # how far back the same slot stood, 0 if it did not
-        for i in np.flatnonzero(slot).tolist():
-            w = pairs[i][1]
-            if w in last:
-                back[i] = i - last[w]
-            last[w] = i
+        order = at[np.argsort(slot[at], kind="stable")]
+        same = slot[order[1:]] == slot[order[:-1]]
+        back[order[1:][same]] = (order[1:] - order[:-1])[same]
         template, slots = np.zeros(count, dtype="uint64"), np.zeros(count, dtype="uint64")
         plain = np.zeros(count, dtype="int64")
         for j, p in enumerate(self.powers):
@@ -126,7 +127,9 @@ class Templates:
             template += (shown[here] ^ seen * np.uint64(0x9E3779B97F4A7C15)) * p
             slots += slot[here] * p
             plain += slot[here] == 0
-        return template.view("int64"), slots.view("int64"), plain
+        first = np.searchsorted(ends, np.arange(count), side="right")
+        kept = np.arange(count) + self.n <= ends[first]
+        return first[kept], template[kept].view("int64"), slots[kept].view("int64"), plain[kept]
 
 
 @lru_cache(maxsize=2)
@@ -143,10 +146,8 @@ def gold_windows(held: DataFrame, parts: frozenset[str], n: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            found = [t.windows(text) for text in batch["text"]]
-            template, slots, plain = (np.concatenate(x) for x in zip(*found, strict=True))
-            cases = np.repeat(batch["case_id"].to_numpy(dtype=object), [len(x) for x, _, _ in found])
-            yield pd.DataFrame({"template": template, "slots": slots, "case_id": cases, "plain": plain})
+            of, template, slots, plain = t.windows(batch["text"].tolist())
+            yield pd.DataFrame({"template": template, "slots": slots, "case_id": batch["case_id"].to_numpy(dtype=object)[of], "plain": plain})
 
     return held.mapInPandas(run, "template bigint, slots bigint, case_id string, plain bigint").distinct()
 
@@ -165,18 +166,17 @@ def _matches(documents: DataFrame, key: str, text: str, parts: frozenset[str], n
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _templates(parts, n)
         for batch in batches:
-            out = []
-            for doc, body in zip(batch["k"], batch["t"], strict=True):
-                template, slots, _ = t.windows(body)
+            keys = batch["k"].to_numpy()
+            for at in range(0, len(batch), 256):  # so many texts at once
+                of, template, slots, _ = t.windows(batch["t"].iloc[at : at + 256].tolist())
                 if shared is not None and len(template):
                     mine, held = _joined([template, slots][: len(by)]), shared.value
                     hit = held[np.minimum(np.searchsorted(held, mine), len(held) - 1)] == mine if len(held) else np.zeros(len(mine), dtype=bool)
-                    template, slots = template[hit], slots[hit]
+                    of, template, slots = of[hit], template[hit], slots[hit]
                 if len(template):
-                    pairs, counts = np.unique(np.stack([template, slots]), axis=1, return_counts=True)
-                    out.append(pd.DataFrame({"doc_id": doc, "template": pairs[0], "slots": pairs[1], "windows": counts}))
-            if out:
-                yield pd.concat(out)
+                    rows = pd.DataFrame({"doc_id": of + at, "template": template, "slots": slots})
+                    rows = rows.groupby(["doc_id", "template", "slots"], as_index=False).size().rename(columns={"size": "windows"})
+                    yield rows.assign(doc_id=keys[rows["doc_id"].to_numpy()])
 
     texts = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
     return texts.mapInPandas(run, f"doc_id {kind}, template bigint, slots bigint, windows bigint")
